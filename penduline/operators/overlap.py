@@ -1,0 +1,182 @@
+"""Same or near-same records across splits.
+
+Records are canonicalised (case, punctuation, white space and word order are normalised away), hashed, and the
+evaluation hashes are joined with the training hashes. Exact copies share one class, so they meet once, not once per
+copy. Near copies meet through hashes of their rarest words: when at least four fifths of the longer record's words are
+shared, the two lists of words, ordered from rare to frequent, share a word within their first n - ceil(0.8 n) + 1.
+The candidates are then verified on the whole word lists, so no pair is lost and none is wrong.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from penduline.session import materialize
+
+#: A word is frequent if it occurs in more than one of so many records. As the words of all records number at most
+#: records x mean length, at most FREQUENT_ONE_IN x mean length words are frequent: the broadcast list doesn't grow.
+FREQUENT_ONE_IN = 500
+
+
+def words(text: Column) -> Column:
+    """Sorted words (runs of letters and digits, lower case) with repeats; null for a null text, [] for a blank one."""
+    return F.array_sort(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
+
+
+def last_release_members(view: DataFrame) -> DataFrame:
+    """(case_id, split) of the last delivery of the highest release of each dataset, each once.
+
+    Rows without dataset_id or release_no are no releases. Deliveries of one release at the same instant all count.
+    """
+    named = view.where("dataset_id IS NOT NULL AND release_no IS NOT NULL")
+    last = named.groupBy("dataset_id").agg(F.max(F.struct("release_no", "delivered_at")).alias("last")).select(
+        "dataset_id", "last.release_no", F.col("last.delivered_at").alias("at"))
+    rows = named.join(last, ["dataset_id", "release_no"]).where(F.col("delivered_at").eqNullSafe(F.col("at")))
+    return (
+        rows.select(F.explode("scenes").alias("scene", "groups"))
+        .select(F.explode("groups").alias("split", "ids"))
+        .select("split", F.explode("ids").alias("case_id"))
+        .where("case_id IS NOT NULL")
+        .distinct()
+    )
+
+
+def _numbered(sorted_words: list[str]) -> list[str]:
+    """Repeats become words of their own: a, a -> a#0, a#1. The overlap of bags is then that of sets."""
+    out, before, k = [], None, 0
+    for w in sorted_words:
+        k = k + 1 if w == before else 0
+        before = w
+        out.append(f"{w}#{k}")
+    return out
+
+
+def word_prefixes(classes: DataFrame) -> DataFrame:
+    """(class_id, n, position, token_hash): the prefix of each class's words, from rare to frequent."""
+    spark = classes.sparkSession
+    total = classes.count()
+    frequent = (
+        classes.select(F.explode(F.array_distinct("bag")).alias("word"))
+        .groupBy("word").count().where(F.col("count") > max(1, total // FREQUENT_ONE_IN))
+    )
+    weight = spark.sparkContext.broadcast({r[0]: r[1] for r in frequent.toLocalIterator()})
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from zlib import crc32
+
+        import xxhash
+
+        heavy = weight.value
+        for batch in batches:
+            ids, sizes, places, hashes = [], [], [], []
+            for class_id, bag in zip(batch["class_id"], batch["bag"], strict=True):
+                tokens = _numbered(list(bag))
+                n = len(tokens)
+                keep = n - (4 * n + 4) // 5 + 1
+                ranked = sorted(tokens, key=lambda t: (heavy.get(t[: t.rindex("#")], 0), crc32(t.encode()), t))
+                for place, token in enumerate(ranked[:keep]):
+                    ids.append(class_id)
+                    sizes.append(n)
+                    places.append(place)
+                    hashes.append(xxhash.xxh3_64_intdigest(token) - (1 << 63))
+            yield pd.DataFrame({"class_id": ids, "n": np.array(sizes, "int32"), "position": np.array(places, "int32"),
+                                "token_hash": np.array(hashes, "int64")})
+
+    return classes.where(F.size("bag") > 0).select("class_id", "bag").mapInPandas(
+        emit, "class_id string, n int, position int, token_hash bigint")
+
+
+def near_pairs(train: DataFrame, evaluation: DataFrame, texts: DataFrame) -> DataFrame:
+    """(train_id, eval_id) of different ids whose texts share at least four fifths of the longer one's words.
+
+    train, evaluation: case_id. texts: case_id, text; an id may have several texts, any pair of which may match.
+    Null texts and texts without any word match nothing.
+    """
+    sides = train.select("case_id", F.lit(True).alias("is_train")).unionByName(
+        evaluation.select("case_id", F.lit(False).alias("is_train")))
+    bags = texts.where("text IS NOT NULL").select("case_id", words(F.col("text")).alias("bag")).where(F.size("bag") > 0)
+    members = materialize(
+        bags.join(sides, "case_id")
+        .select("case_id", "is_train", "bag", F.substring(F.sha2(F.array_join("bag", " "), 256), 1, 32).alias("class_id"))
+    )
+    belongs = members.select("class_id", "case_id", "is_train").distinct()
+    classes = materialize(members.groupBy("class_id").agg(
+        F.first("bag").alias("bag"), F.max("is_train").alias("of_train"), F.max(~F.col("is_train")).alias("of_eval")))
+    prefixes = word_prefixes(classes).join(classes.select("class_id", "of_train", "of_eval"), "class_id")
+    prefixes = materialize(prefixes)
+    t = prefixes.where("of_train").select("token_hash", F.col("class_id").alias("t_class"), F.col("n").alias("t_n"), F.col("position").alias("t_at"))
+    e = prefixes.where("of_eval").select("token_hash", F.col("class_id").alias("e_class"), F.col("n").alias("e_n"), F.col("position").alias("e_at"))
+    # of the first common word no earlier one is shared: what follows it must suffice
+    candidates = t.join(e, "token_hash").where(
+        (F.col("t_class") != F.col("e_class"))
+        & (5 * F.least("t_n", "e_n") >= 4 * F.greatest("t_n", "e_n"))
+        & (5 * (F.least(F.col("t_n") - F.col("t_at"), F.col("e_n") - F.col("e_at"))) >= 4 * F.greatest("t_n", "e_n"))
+    ).select("t_class", "e_class").distinct()
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        def shared(x: list[str], y: list[str]) -> bool:
+            x, y = _numbered(list(x)), _numbered(list(y))
+            return 5 * len(set(x).intersection(y)) >= 4 * max(len(x), len(y))
+
+        return pd.Series([shared(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    both = (
+        candidates.join(classes.select(F.col("class_id").alias("t_class"), F.col("bag").alias("t_bag")), "t_class")
+        .join(classes.select(F.col("class_id").alias("e_class"), F.col("bag").alias("e_bag")), "e_class")
+        .where(similar("t_bag", "e_bag")).select("t_class", "e_class")
+    )
+    same = classes.where("of_train AND of_eval").select(F.col("class_id").alias("t_class"), F.col("class_id").alias("e_class"))
+    of_train = belongs.where("is_train").select(F.col("class_id").alias("t_class"), F.col("case_id").alias("train_id"))
+    of_eval = belongs.where("NOT is_train").select(F.col("class_id").alias("e_class"), F.col("case_id").alias("eval_id"))
+    return (
+        both.unionByName(same).join(of_train, "t_class").join(of_eval, "e_class")
+        .where("train_id <> eval_id").select("train_id", "eval_id").distinct()
+    )
+
+
+def cross_split_pairs(view: DataFrame, cases: DataFrame, eval_splits: tuple[str, ...] = ("test_id", "test_ood1")) -> DataFrame:
+    """(train_id, eval_id, why): every pair with each reason that holds for it: same_id, similar_text, parent.
+
+    Empty tables give no rows. Ids listed but never delivered still pair by id. Null ids, parents and texts match nothing.
+    """
+    members = materialize(last_release_members(view))
+    train = members.where("split = 'train'").select("case_id").distinct()
+    evaluation = members.where(F.col("split").isin(*eval_splits)).select("case_id").distinct()
+    same = train.join(evaluation, "case_id").select(F.col("case_id").alias("train_id"), F.col("case_id").alias("eval_id"), F.lit("same_id").alias("why"))
+    parents = (
+        cases.select("case_id", F.col("provenance.parent_case_id").alias("parent")).where("parent IS NOT NULL").distinct()
+        .join(evaluation, "case_id", "left_semi")
+        .join(train.select(F.col("case_id").alias("parent")), "parent", "left_semi")
+        .select(F.col("parent").alias("train_id"), F.col("case_id").alias("eval_id"), F.lit("parent").alias("why"))
+    )
+    texts = cases.select("case_id", F.col("text.description").alias("text")).distinct()
+    near = near_pairs(train, evaluation, texts).withColumn("why", F.lit("similar_text"))
+    return same.unionByName(near).unionByName(parents)
+
+
+def found(view: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_a, case_b), smaller first, each pair once."""
+    return cross_split_pairs(view, cases).select(
+        F.least("train_id", "eval_id").alias("case_a"), F.greatest("train_id", "eval_id").alias("case_b")).distinct()
+
+
+def counts(view: DataFrame, cases: DataFrame) -> DataFrame:
+    """Overlaps per evaluation split and provenance.source_kind of the evaluation case's last row ('' if none):
+    pairs, evaluation cases concerned, and pairs by reason. A pair counts once in each split that lists its case."""
+    members = last_release_members(view).where("split <> 'train'").select("split", F.col("case_id").alias("eval_id"))
+    kinds = cases.select("case_id", "received_at", F.col("provenance.source_kind").alias("kind")).groupBy("case_id").agg(
+        F.max_by("kind", F.struct("received_at", "kind")).alias("source_kind"))
+    pairs = cross_split_pairs(view, cases).groupBy("train_id", "eval_id").agg(
+        *(F.max(F.when(F.col("why") == w, 1).otherwise(0)).alias(w) for w in ("same_id", "similar_text", "parent")))
+    return (
+        pairs.join(members, "eval_id").join(kinds.withColumnRenamed("case_id", "eval_id"), "eval_id", "left")
+        .groupBy("split", F.coalesce("source_kind", F.lit("")).alias("source_kind"))
+        .agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("eval_cases"),
+             *(F.sum(w).cast("bigint").alias(w) for w in ("same_id", "similar_text", "parent")))
+    )
