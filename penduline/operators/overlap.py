@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ from penduline.session import materialize
 #: records x mean length, at most FREQUENT_ONE_IN x mean length words are frequent: the broadcast list doesn't grow.
 FREQUENT_ONE_IN = 500
 
+_ALL, _TOP = (1 << 64) - 1, 1 << 63
+
 
 def words(text: Column) -> Column:
     """Sorted words (runs of letters and digits, lower case) with repeats; null for a null text, [] for a blank one."""
@@ -57,7 +58,8 @@ def _numbered(sorted_words: list[str]) -> list[str]:
 
 
 def word_prefixes(classes: DataFrame) -> DataFrame:
-    """(class_id, n, position, token_hash): the prefix of each class's words, from rare to frequent."""
+    """(class_id, of_train, of_eval, n, position, token_hash, b0..b3): the prefix of each class's words, from rare to
+    frequent. b0..b3 are a sketch of all words: each flips one of 256 bits."""
     spark = classes.sparkSession
     total = classes.count()
     frequent = (
@@ -67,28 +69,25 @@ def word_prefixes(classes: DataFrame) -> DataFrame:
     weight = spark.sparkContext.broadcast({r[0]: r[1] for r in frequent.toLocalIterator()})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from zlib import crc32
-
         import xxhash
 
         heavy = weight.value
         for batch in batches:
-            ids, sizes, places, hashes = [], [], [], []
-            for class_id, bag in zip(batch["class_id"], batch["bag"], strict=True):
+            rows = []
+            for class_id, of_train, of_eval, bag in zip(batch["class_id"], batch["of_train"], batch["of_eval"], batch["bag"], strict=True):
                 tokens = _numbered(list(bag))
                 n = len(tokens)
-                keep = n - (4 * n + 4) // 5 + 1
-                ranked = sorted(tokens, key=lambda t: (heavy.get(t[: t.rindex("#")], 0), crc32(t.encode()), t))
-                for place, token in enumerate(ranked[:keep]):
-                    ids.append(class_id)
-                    sizes.append(n)
-                    places.append(place)
-                    hashes.append(xxhash.xxh3_64_intdigest(token) - (1 << 63))
-            yield pd.DataFrame({"class_id": ids, "n": np.array(sizes, "int32"), "position": np.array(places, "int32"),
-                                "token_hash": np.array(hashes, "int64")})
+                ranked = sorted((heavy.get(t[: t.rindex("#")], 0), xxhash.xxh3_64_intdigest(t)) for t in tokens)
+                sketch = 0
+                for _, h in ranked:
+                    sketch ^= 1 << (h & 255)
+                parts = [((sketch >> 64 * k & _ALL) ^ _TOP) - _TOP for k in range(4)]
+                for place, (_, h) in enumerate(ranked[: n - (4 * n + 4) // 5 + 1]):
+                    rows.append((class_id, of_train, of_eval, n, place, h - _TOP, *parts))
+            yield pd.DataFrame(rows, columns=["class_id", "of_train", "of_eval", "n", "position", "token_hash", "b0", "b1", "b2", "b3"])
 
-    return classes.where(F.size("bag") > 0).select("class_id", "bag").mapInPandas(
-        emit, "class_id string, n int, position int, token_hash bigint")
+    return classes.where(F.size("bag") > 0).select("class_id", "of_train", "of_eval", "bag").mapInPandas(
+        emit, "class_id string, of_train boolean, of_eval boolean, n int, position int, token_hash bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def near_pairs(train: DataFrame, evaluation: DataFrame, texts: DataFrame) -> DataFrame:
@@ -107,15 +106,20 @@ def near_pairs(train: DataFrame, evaluation: DataFrame, texts: DataFrame) -> Dat
     belongs = members.select("class_id", "case_id", "is_train").distinct()
     classes = materialize(members.groupBy("class_id").agg(
         F.first("bag").alias("bag"), F.max("is_train").alias("of_train"), F.max(~F.col("is_train")).alias("of_eval")))
-    prefixes = word_prefixes(classes).join(classes.select("class_id", "of_train", "of_eval"), "class_id")
-    prefixes = materialize(prefixes)
-    t = prefixes.where("of_train").select("token_hash", F.col("class_id").alias("t_class"), F.col("n").alias("t_n"), F.col("position").alias("t_at"))
-    e = prefixes.where("of_eval").select("token_hash", F.col("class_id").alias("e_class"), F.col("n").alias("e_n"), F.col("position").alias("e_at"))
-    # of the first common word no earlier one is shared: what follows it must suffice
-    candidates = t.join(e, "token_hash").where(
-        (F.col("t_class") != F.col("e_class"))
-        & (5 * F.least("t_n", "e_n") >= 4 * F.greatest("t_n", "e_n"))
-        & (5 * (F.least(F.col("t_n") - F.col("t_at"), F.col("e_n") - F.col("e_at"))) >= 4 * F.greatest("t_n", "e_n"))
+    prefixes = materialize(word_prefixes(classes))
+
+    def side(flag: str, mark: str) -> DataFrame:
+        names = {"class_id": "class", "n": "n", "position": "at", "b0": "b0", "b1": "b1", "b2": "b2", "b3": "b3"}
+        return prefixes.where(flag).select("token_hash", *(F.col(c).alias(f"{mark}_{a}") for c, a in names.items()))
+
+    longer = F.greatest("t_n", "e_n")
+    apart = sum((F.bit_count(F.col(f"t_b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(4)), F.lit(0))
+    # of the first common word no earlier one is shared: what follows it must suffice; words of one text only flip bits
+    candidates = side("of_train", "t").join(side("of_eval", "e"), "token_hash").where(
+        (5 * F.least("t_n", "e_n") >= 4 * longer)
+        & (5 * F.least(F.col("t_n") - F.col("t_at"), F.col("e_n") - F.col("e_at")) >= 4 * longer)
+        & (5 * (F.col("t_n") + F.col("e_n") - apart) >= 8 * longer)
+        & (F.col("t_class") != F.col("e_class"))
     ).select("t_class", "e_class").distinct()
 
     @F.pandas_udf("boolean")
