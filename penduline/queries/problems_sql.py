@@ -1 +1,111 @@
-SQL: dict[str, str] = {}
+"""SQL twins of the problem queries (DuckDB)."""
+
+from __future__ import annotations
+
+_MEMBERS = """
+last_release AS (SELECT dataset_id, max(release_no) AS release_no FROM view_a WHERE dataset_id IS NOT NULL GROUP BY dataset_id),
+last_delivery AS (SELECT v.dataset_id, v.release_no, max(v.delivered_at) AS at FROM view_a v JOIN last_release l ON v.dataset_id = l.dataset_id AND v.release_no = l.release_no GROUP BY ALL),
+scene_rows AS (SELECT unnest(map_entries(v.scenes)) AS s FROM view_a v JOIN last_delivery l ON v.dataset_id = l.dataset_id AND v.release_no = l.release_no AND v.delivered_at IS NOT DISTINCT FROM l.at),
+group_rows AS (SELECT unnest(map_entries(s.value)) AS g FROM scene_rows),
+members AS (SELECT DISTINCT * FROM (SELECT g.key AS split, unnest(g.value) AS case_id FROM group_rows) WHERE case_id IS NOT NULL),
+train AS (SELECT DISTINCT case_id FROM members WHERE split = 'train'),
+evaluation AS (SELECT DISTINCT case_id FROM members WHERE split IN ('test_id', 'test_ood1')),
+texts AS (SELECT DISTINCT case_id, text.description AS t FROM cases WHERE text.description IS NOT NULL),
+word_rows AS (SELECT case_id, t, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{Nd}]+')) AS w FROM texts),
+bags AS (SELECT case_id, t, w, count(*) AS n FROM word_rows GROUP BY ALL),
+sizes AS (SELECT case_id, t, sum(n) AS total FROM bags GROUP BY ALL),
+shared AS (
+  SELECT a.case_id AS train_id, a.t AS t_a, b.case_id AS eval_id, b.t AS t_b, sum(least(a.n, b.n)) AS common
+  FROM (SELECT * FROM bags WHERE case_id IN (SELECT case_id FROM train)) a
+  JOIN (SELECT * FROM bags WHERE case_id IN (SELECT case_id FROM evaluation)) b ON a.w = b.w AND a.case_id <> b.case_id GROUP BY ALL),
+similar_text AS (
+  SELECT DISTINCT s.train_id, s.eval_id FROM shared s JOIN sizes a ON a.case_id = s.train_id AND a.t = s.t_a JOIN sizes b ON b.case_id = s.eval_id AND b.t = s.t_b
+  WHERE 5 * s.common >= 4 * greatest(a.total, b.total)),
+why AS (
+  SELECT case_id AS train_id, case_id AS eval_id, 'same_id' AS why FROM train WHERE case_id IN (SELECT case_id FROM evaluation)
+  UNION ALL SELECT train_id, eval_id, 'similar_text' FROM similar_text
+  UNION ALL SELECT DISTINCT provenance.parent_case_id, case_id, 'parent' FROM cases
+    WHERE case_id IN (SELECT case_id FROM evaluation) AND provenance.parent_case_id IN (SELECT case_id FROM train))
+"""
+
+_SNAPSHOTS = """
+named AS (SELECT * FROM view_a WHERE dataset_id IS NOT NULL AND release_no IS NOT NULL),
+deliveries AS (SELECT dataset_id, release_no, max(delivered_at) AS at FROM named GROUP BY ALL),
+releases AS (SELECT dataset_id, release_no, lag(release_no) OVER (PARTITION BY dataset_id ORDER BY release_no) AS prev_no FROM deliveries),
+scene_rows AS (SELECT v.dataset_id, v.release_no, unnest(map_entries(v.scenes)) AS s FROM named v JOIN deliveries d ON v.dataset_id = d.dataset_id AND v.release_no = d.release_no AND v.delivered_at IS NOT DISTINCT FROM d.at),
+group_rows AS (SELECT dataset_id, release_no, s.key AS scene, unnest(map_entries(s.value)) AS g FROM scene_rows),
+id_rows AS (SELECT dataset_id, release_no, scene, g.key AS grp, unnest(g.value) AS case_id FROM group_rows),
+places AS (SELECT dataset_id, release_no, case_id, list_sort(list(DISTINCT scene || '|' || grp)) AS place FROM id_rows WHERE case_id IS NOT NULL GROUP BY ALL)
+"""
+
+_ORPHANS = """
+listed AS (SELECT view_id, delivered_at, unnest(map_entries(scenes)) AS s FROM view_b),
+grouped AS (SELECT view_id, delivered_at, unnest(map_entries(s.value)) AS g FROM listed),
+ids AS (SELECT view_id, delivered_at, unnest(g.value) AS id FROM grouped),
+every AS (
+  SELECT 'cases' AS ref_table, 'parent_case_id' AS ref_field, case_id AS ref_key, provenance.parent_case_id AS target_key, 'cases' AS parent, received_at AS seen FROM cases
+  UNION ALL SELECT 'cases', 'physics_reference_video', case_id, assets['physics_reference_video'], 'asset_lock', received_at FROM cases
+  UNION ALL SELECT 'view_b', 'scenes', view_id, id, 'cases', delivered_at FROM ids
+  UNION ALL SELECT 'predictions', 'case_id', job_id, case_id, 'cases', submitted_at FROM predictions),
+refs AS (SELECT ref_table, ref_field, ref_key, target_key, parent, min(seen) AS seen FROM every WHERE target_key IS NOT NULL AND target_key <> '' GROUP BY ALL),
+arrivals AS (SELECT DISTINCT 'cases' AS parent, case_id AS target_key, received_at AS seen FROM cases UNION SELECT 'asset_lock', path, locked_at FROM asset_lock),
+deletions AS (SELECT DISTINCT 'cases' AS parent, case_id AS target_key, deleted_at AS seen FROM case_deletions WHERE deleted_at IS NOT NULL UNION SELECT 'asset_lock', path, withdrawn_at FROM asset_lock WHERE withdrawn_at IS NOT NULL),
+firsts AS (SELECT parent, target_key, min(seen) AS seen FROM arrivals GROUP BY ALL),
+last_deletion AS (SELECT r.ref_table, r.ref_field, r.ref_key, r.target_key, max(d.seen) AS seen FROM refs r JOIN deletions d ON d.parent = r.parent AND d.target_key = r.target_key AND d.seen <= r.seen GROUP BY ALL),
+judged AS (
+  SELECT r.*, CASE WHEN f.seen IS NULL THEN 'missing' WHEN f.seen > r.seen THEN 'late'
+    WHEN l.seen IS NOT NULL AND NOT EXISTS (SELECT 1 FROM arrivals a WHERE a.parent = r.parent AND a.target_key = r.target_key AND a.seen > l.seen AND a.seen <= r.seen) THEN 'deleted' END AS reason
+  FROM refs r LEFT JOIN firsts f ON f.parent = r.parent AND f.target_key = r.target_key
+  LEFT JOIN last_deletion l ON l.ref_table = r.ref_table AND l.ref_field = r.ref_field AND l.ref_key = r.ref_key AND l.target_key = r.target_key),
+orphan AS (SELECT ref_table, ref_field, ref_key, target_key, strftime(seen, '%Y-%m') AS period, reason FROM judged WHERE reason IS NOT NULL)
+"""
+
+_DRIFT = """
+docs AS (SELECT row_no, stream_id, file_no, CASE WHEN json_valid(body) THEN body END AS body FROM manifest_lines),
+objects AS (SELECT row_no, stream_id, file_no, body, json_extract_string(body, '$.site') AS site FROM docs WHERE json_type(body) = 'OBJECT'),
+tree AS (SELECT o.row_no, o.stream_id, o.file_no, o.site, t.fullkey, t.type, t.value FROM objects o, json_tree(o.body) t),
+leaves AS (SELECT stream_id, file_no, site, replace(substr(fullkey, 3), '"', '') AS path,
+    CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'ARRAY' THEN 'array' WHEN type = 'NULL' THEN NULL ELSE 'number' END AS type,
+    CASE WHEN type <> 'NULL' THEN type || value::VARCHAR END AS v
+  FROM tree WHERE type <> 'OBJECT' AND fullkey NOT LIKE '%[%' AND fullkey <> '$.site'),
+files AS (SELECT stream_id, file_no, lag(file_no) OVER (PARTITION BY stream_id ORDER BY file_no) AS prev_no FROM (SELECT DISTINCT stream_id, file_no FROM manifest_lines)),
+paths AS (SELECT stream_id, file_no, path, list_sort(list(DISTINCT type) FILTER (type IS NOT NULL)) AS types FROM leaves GROUP BY ALL),
+come AS (SELECT f.stream_id, f.file_no, f.prev_no, p.path FROM files f JOIN paths p ON p.stream_id = f.stream_id AND p.file_no = f.file_no
+  WHERE f.prev_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM paths q WHERE q.stream_id = f.stream_id AND q.file_no = f.prev_no AND q.path = p.path)),
+gone AS (SELECT f.stream_id, f.file_no, f.prev_no, p.path FROM files f JOIN paths p ON p.stream_id = f.stream_id AND p.file_no = f.prev_no
+  WHERE NOT EXISTS (SELECT 1 FROM paths q WHERE q.stream_id = f.stream_id AND q.file_no = f.file_no AND q.path = p.path)),
+said AS (SELECT stream_id, file_no, site, path, list_sort(list(DISTINCT v)) AS v FROM leaves WHERE v IS NOT NULL AND site IS NOT NULL GROUP BY ALL),
+renamed AS (SELECT g.stream_id, g.file_no, g.path AS old_path, c.path AS new_path FROM gone g JOIN come c ON c.stream_id = g.stream_id AND c.file_no = g.file_no
+  JOIN said a ON a.stream_id = g.stream_id AND a.file_no = g.prev_no AND a.path = g.path
+  JOIN said b ON b.stream_id = c.stream_id AND b.file_no = c.file_no AND b.path = c.path AND b.site = a.site
+  GROUP BY ALL HAVING bool_and(a.v = b.v))
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_MEMBERS} SELECT DISTINCT least(train_id, eval_id) AS case_a, greatest(train_id, eval_id) AS case_b FROM why",
+    "p1_counts": f"""WITH {_MEMBERS},
+      pairs AS (SELECT train_id, eval_id, max((why = 'same_id')::BIGINT) AS same_id, max((why = 'similar_text')::BIGINT) AS similar_text, max((why = 'parent')::BIGINT) AS parent FROM why GROUP BY ALL),
+      kinds AS (SELECT case_id, arg_max(provenance.source_kind, received_at) AS source_kind FROM cases GROUP BY case_id)
+      SELECT m.split, coalesce(k.source_kind, '') AS source_kind, count(*) AS pairs, count(DISTINCT p.eval_id) AS eval_cases,
+        sum(same_id)::BIGINT AS same_id, sum(similar_text)::BIGINT AS similar_text, sum(parent)::BIGINT AS parent
+      FROM pairs p JOIN members m ON m.case_id = p.eval_id AND m.split <> 'train' LEFT JOIN kinds k ON k.case_id = p.eval_id GROUP BY ALL""",
+    "p3_found": f"""WITH {_SNAPSHOTS},
+      later AS (SELECT r.dataset_id, r.release_no, p.case_id, p.place FROM releases r JOIN places p ON p.dataset_id = r.dataset_id AND p.release_no = r.release_no WHERE r.prev_no IS NOT NULL),
+      earlier AS (SELECT r.dataset_id, r.release_no, p.case_id, p.place FROM releases r JOIN places p ON p.dataset_id = r.dataset_id AND p.release_no = r.prev_no)
+      SELECT coalesce(l.dataset_id, e.dataset_id) AS dataset_id, coalesce(l.release_no, e.release_no) AS release_no, coalesce(l.case_id, e.case_id) AS case_id,
+        CASE WHEN e.case_id IS NULL THEN 'added' WHEN l.case_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+      FROM later l FULL JOIN earlier e ON l.dataset_id = e.dataset_id AND l.release_no = e.release_no AND l.case_id = e.case_id
+      WHERE l.place IS DISTINCT FROM e.place""",
+    "p3_digests": """WITH ids AS (SELECT view_id, dataset_id, release_no, delivered_at, case_set_sha256, list_sort(list_distinct(flatten(list_transform(map_values(scenes), lambda g: flatten(map_values(g)))))) AS ids FROM view_a),
+      own AS (SELECT *, sha256('[' || array_to_string(list_transform(ids, lambda x: '"' || x || '"'), ',') || ']') AS own_sha256 FROM ids)
+      SELECT view_id, dataset_id, release_no, delivered_at, len(ids)::INTEGER AS n_ids, own_sha256, case_set_sha256 AS stated_sha256,
+        CASE WHEN case_set_sha256 IS NULL THEN 'not_stated' WHEN case_set_sha256 = own_sha256 THEN 'match' ELSE 'mismatch' END AS verdict FROM own""",
+    "p4_found": f"WITH {_ORPHANS} SELECT * FROM orphan",
+    "p4_report": f"WITH {_ORPHANS} SELECT ref_table, ref_field, period, reason, count(*) AS n_refs, count(DISTINCT target_key) AS n_targets FROM orphan GROUP BY ALL",
+    "p5_found": f"""WITH {_DRIFT}
+      SELECT stream_id, file_no, 'renamed' AS change, old_path, new_path FROM renamed
+      UNION ALL SELECT stream_id, file_no, 'added', '', path FROM come c WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.stream_id = c.stream_id AND r.file_no = c.file_no AND r.new_path = c.path)
+      UNION ALL SELECT stream_id, file_no, 'removed', path, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.stream_id = g.stream_id AND r.file_no = g.file_no AND r.old_path = g.path)
+      UNION ALL SELECT f.stream_id, f.file_no, 'type_changed', p.path, p.path FROM files f JOIN paths p ON p.stream_id = f.stream_id AND p.file_no = f.file_no
+        JOIN paths q ON q.stream_id = f.stream_id AND q.file_no = f.prev_no AND q.path = p.path WHERE p.types <> q.types AND len(p.types) > 0 AND len(q.types) > 0""",
+}
