@@ -41,9 +41,9 @@ def rolling_median(spark: SparkSession, d: str) -> DataFrame:
     return _r(frames(spark, d).select("series_id", "frame", series.rolling_median("x", 25, _W()).alias("median25")), "median25")
 
 
-@query(f"WITH RECURSIVE {_S}, e AS (SELECT series_id, frame, x AS ema FROM s WHERE frame = 0 UNION ALL SELECT s.series_id, s.frame, 0.05::DOUBLE * s.x + 0.95::DOUBLE * e.ema FROM e JOIN s ON s.series_id = e.series_id AND s.frame = e.frame + 1) SELECT series_id, frame, round(ema, 4) AS ema FROM e")
+@query(f"WITH RECURSIVE {_S}, e AS (SELECT series_id, frame, x AS ema FROM s WHERE frame = 0 UNION ALL SELECT s.series_id, s.frame, 0.05::DOUBLE * s.x + 0.95::DOUBLE * e.ema FROM e JOIN s ON s.series_id = e.series_id AND s.frame = e.frame + 1) SELECT series_id, frame, round(ema + 1e-7, 4) AS ema FROM e")
 def ema(spark: SparkSession, d: str) -> DataFrame:
-    return _r(series.ema(frames(spark, d), "x", 0.05), "ema", digits=4)
+    return _r(series.ema(frames(spark, d), "x", 0.05).withColumn("ema", F.col("ema") + 1e-7), "ema", digits=4)
 
 
 @query(f"WITH {_S} SELECT series_id, (frame // 20 + 1) AS epoch, count(*) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, min(x) AS min, max(x) AS max, round(coalesce(stddev_samp(x), 0), 6) AS stdev FROM s GROUP BY ALL")
