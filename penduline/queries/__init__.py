@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "planning", "validation", "series", "shapes", "scalars", "scoring")
+MODULES = ("evaluation", "planning", "validation", "series", "shapes", "scalars", "scoring", "etl")
 
 
 def load() -> tuple[dict, dict]:
