@@ -35,8 +35,8 @@ def annotation_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return etl.reconcile(table(spark, d, "cases"), table(spark, d, "asset_lock").select(F.explode("case_ids").alias("case_id")), "case_id")
 
 
-@query(f"""WITH {_S} SELECT series_id AS run, frame + 1 AS step, x AS value, (frame // 41 + 1)::BIGINT AS epoch, round(avg(x) OVER (w ROWS 24 PRECEDING), 5) AS mean25, round(avg(x) OVER (w ROWS 99 PRECEDING), 5) AS mean100,
-  round(median(x) OVER (w ROWS 24 PRECEDING), 5) AS median25 FROM s WINDOW w AS (PARTITION BY series_id ORDER BY frame)""")
+@query(f"""WITH {_S} SELECT series_id AS run, frame + 1 AS step, x AS value, (frame // 41 + 1)::BIGINT AS epoch, round(avg(x) OVER (w ROWS 24 PRECEDING) + 1e-8, 5) AS mean25, round(avg(x) OVER (w ROWS 99 PRECEDING) + 1e-8, 5) AS mean100,
+  round(median(x) OVER (w ROWS 24 PRECEDING) + 1e-8, 5) AS median25 FROM s WINDOW w AS (PARTITION BY series_id ORDER BY frame)""")
 def loss_export(spark: SparkSession, d: str) -> DataFrame:
     loss = frames(spark, d).select(F.col("series_id").alias("run"), (F.col("frame") + 1).alias("step"), F.col("x").alias("value"))
-    return etl.loss_table(loss, 41).drop("ema").withColumns({c: F.round(c, 5) for c in ("mean25", "mean100", "median25")})
+    return etl.loss_table(loss, 41).drop("ema").withColumns({c: F.round(F.col(c) + 1e-8, 5) for c in ("mean25", "mean100", "median25")})
