@@ -12,7 +12,7 @@ _LOG = re.compile(r"^\s*(?:\[[^\]\n]{1,40}\]|\d{4}-\d\d-\d\d[T ][\d:.,]+\S*|\d\d
 _MARK = re.compile(r"^\s*(?:>\s*)+|^\s*(?:[-*+•‣–]|\(?\d{1,3}[.)])\s+")
 _HEADING = re.compile(r"^\s*#{1,6}\s")
 _END = re.compile(r"[.!?。！？…]['\"”’»)\]]*\s*$")
-_CUT = re.compile(r"(?<=[.!?…])['\"”’»)\]]*\s+|(?<=[。！？])")
+_CUT = re.compile(r"(?<=[.!?…])['\"”’»)\]]*\s+|(?<=[。！？])|(?<=[!?])(?=[㐀-鿿])|(?<=[㐀-鿿][!?])(?=\S)")
 _CODE = re.compile(r"(?<![^\W_㐀-鿿])(?=[a-z]*\d)(?=\d*[a-z])[a-z\d]+(?![^\W_㐀-鿿])|([a-z])\1{5,}")
 _WORD = re.compile(r"[^\W\d_㐀-鿿]+(?:_[^\W㐀-鿿]+)+|[㐀-鿿]+|[^\W\d_㐀-鿿]+")
 

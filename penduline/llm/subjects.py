@@ -32,12 +32,16 @@ RARE_ONE_IN = 20_000
 ROUNDS, INNER = 4, 8
 #: Dirichlet priors: a subject's topic and the common topic in a document, a word in a topic, and the labels' weight.
 ALPHA, ALPHA_COMMON, ETA, PRIOR = 0.05, 1.0, 0.01, 0.3
-#: A word is typical of a subject above this share of its labelled rate.
-TYPICAL = 0.35
-#: Top terms by which a topic is mapped, the least mean typicality, and the least evidence in a sentence: the sum
+#: A word is typical of a subject, and a topic is mapped to one, if the share of its labelled rate lies so far above even
+#: shares, on the way from those to 1.
+TYPICAL, MAPPED = 0.28, 0.22
+#: Top terms by which a topic is mapped, and the least evidence in a sentence: the sum
 #: over its words of the log of how many times likelier a word is in the topic than in a topic taken at random.
-TOP_TERMS, MAPPED, EVIDENCE = 30, 0.3, 1.0
+TOP_TERMS, EVIDENCE = 30, 1.0
 SHARE = 0.25
+#: Words up to which a document counts in full in the fit; a longer one has the weight of so many words, so that a very
+#: long or repetitive text doesn't make a topic of its own.
+FULL_WEIGHT_WORDS = 200
 #: Words handled at once in a worker.
 CHUNK = 60_000
 
@@ -91,6 +95,10 @@ def _lists(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return array.flatten().to_numpy(zero_copy_only=False), np.diff(array.offsets.to_numpy())
 
 
+def _above_even(part: float, n: int) -> float:
+    return 1 / n + part * (1 - 1 / n) if n > 1 else 0.5
+
+
 class TopicModel:
     """Topics fitted to a corpus, with the subject of each."""
 
@@ -100,17 +108,21 @@ class TopicModel:
         self.odds = np.log(len(weights) * in_topic / in_topic.sum(0))[:-1]
         relevance = weights[:-1] * np.maximum(self.odds, 0)
         self.top = np.argsort(-relevance, axis=1, kind="stable")[:, :TOP_TERMS]
-        self.affinity = np.stack([typical[:, t].mean(1) for t in self.top]) if len(vocabulary) else np.zeros((len(subjects), len(subjects)))
-        self.subject_of = [int(a.argmax()) if len(a) and a.max() >= MAPPED else -1 for a in self.affinity]
+        self.affinity = np.zeros((len(subjects), len(subjects)))
+        for k, terms in enumerate(self.top):
+            self.affinity[k] = (typical[:, terms] * relevance[k, terms]).sum(1) / max(relevance[k, terms].sum(), 1e-12)
+        self.subject_of = [int(a.argmax()) if a.max() >= _above_even(MAPPED, len(subjects)) else -1 for a in self.affinity]
 
 
 def fit(corpus: DataFrame, areas: DataFrame, labels: DataFrame) -> tuple[TopicModel, DataFrame]:
     """(model, encoded): encoded holds doc_id, ids (of known words) and ends."""
     spark = corpus.sparkSession
-    subjects = sorted(r[0] for r in areas.select("subject").distinct().collect() if r[0] is not None)
+    # subjects without any label can't be told from others: they have no topic
+    subjects = sorted(r[0] for r in areas.join(labels.select("subject"), "subject", "left_semi").select("subject").distinct().collect())
     total = corpus.count()
     counts = materialize(corpus.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where(F.col("count") >= max(3, total // RARE_ONE_IN)))
-    vocabulary = sorted(r[0] for r in counts.select("word").toLocalIterator())
+    held = sorted((r[0], r[1]) for r in counts.toLocalIterator())
+    vocabulary, occurs = [w for w, _ in held], np.array([c for _, c in held], float)
     index = {w: k for k, w in enumerate(vocabulary)}
     n, size = len(subjects), len(vocabulary)
     shared = spark.sparkContext.broadcast(index)
@@ -146,12 +158,10 @@ def fit(corpus: DataFrame, areas: DataFrame, labels: DataFrame) -> tuple[TopicMo
     labelled, seen = rate[:, -1:], rate[:, :-1]
     smooth = (seen + 0.02) / (labelled + 1)
     typical = smooth / smooth.sum(0) if n else smooth
+    bar = _above_even(TYPICAL, n) if n else 1.0
     evidence = seen.sum(0)
-    occurs = np.zeros(size)
-    for row in encoded.select(F.explode("ids").alias("w")).groupBy("w").count().toLocalIterator():
-        occurs[row[0]] = row[1]
     peak = typical.max(0) if n else np.zeros(size)
-    is_typical, is_common = (evidence >= 1) & (peak > TYPICAL), (evidence >= 5) & (peak <= TYPICAL)
+    is_typical, is_common = (evidence >= 1) & (peak > bar), (evidence >= 5) & (peak <= bar)
     seed = np.zeros((n + 1, size))
     seed[:n] = np.where(is_typical, occurs * typical**2 / np.maximum((typical**2).sum(0), 1e-12), 0) if n else 0
     seed[n] = np.where(is_common, occurs, 0)
@@ -176,6 +186,7 @@ def _expected(encoded: DataFrame, weights: np.ndarray, alpha: np.ndarray) -> np.
             ids, lengths = _lists(batch["ids"])
             for word, doc, n_docs in _chunks(ids, lengths):
                 p = _infer(word, doc, n_docs, beta, alpha)
+                p *= np.minimum(1.0, FULL_WEIGHT_WORDS / np.maximum(np.bincount(doc, minlength=n_docs), 1))[doc, None]
                 for k in range(n_topics):
                     total[k] += np.bincount(word, p[:, k], size)
         flat = total.ravel()
