@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penduline.session import materialize
+from penduline.session import materialize, spread
 
 _LINE = ["stream_id", "file_no"]
 _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", type(None): "null"}
@@ -68,7 +68,7 @@ def path_values(lines: DataFrame) -> DataFrame:
             arrays = [*kept.columns, pa.array(sites, pa.string()), pa.array(fields, pa.map_(pa.string(), held))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept.schema.names, "site", "fields"])
 
-    return lines.select("row_no", "stream_id", "kind", F.col("file_no").cast("int").alias("file_no"), F.col("line_no").cast("int").alias("line_no"), "body").mapInArrow(
+    return spread(lines.select("row_no", "stream_id", "kind", F.col("file_no").cast("int").alias("file_no"), F.col("line_no").cast("int").alias("line_no"), "body")).mapInArrow(
         parse, "row_no bigint, stream_id string, kind string, file_no int, line_no int, site string, fields map<string, struct<type: string, raw: string>>")
 
 

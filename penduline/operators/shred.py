@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penduline.session import spread
+
 #: Table -> the table of its parents.
 PARENT_OF = {
     "case": None, "quantity": "case", "reading": "quantity", "view": "case", "crop": "view", "asset": "case",
@@ -128,7 +130,7 @@ def shred(records: DataFrame, payload: bool = True) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return records.select("record_id", "body").mapInArrow(
+    return spread(records.select("record_id", "body")).mapInArrow(
         emit, "record_id bigint, tag string, item_path string, parent_tag string, parent_path string, payload string")
 
 

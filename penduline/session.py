@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,25 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once an application: they needn't have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        home = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="penduline-")) / "penduline.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(home.rglob("*.py")):
+                z.write(source, source.relative_to(home.parent))
+        context.addPyFile(str(path))
+        _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as parquet into the shared folder and read it back: the lineage is cut, and the loss of an executor
     costs nothing that was already computed."""
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -38,3 +58,11 @@ def materialize(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows (counted, not guessed), else df unchanged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan that Python is to work on, over all cores: a small input of fewer partitions than cores is dealt out, a
+    large one left as it is."""
+    ship(df.sparkSession)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
