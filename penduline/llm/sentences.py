@@ -32,7 +32,7 @@ def _strings(value: object) -> list[str]:
 
 
 def sentences(text: str | None) -> list[str]:
-    """The sentences of a text; list items, log lines and quoted lines are sentences of their own. Hard line breaks
+    """The sentences of a text; list items, log lines, quoted lines and rows of tables are sentences of their own. Hard line breaks
     within a sentence are undone. Markup, markers, headings and lines without a letter or digit give none."""
     if not text or not text.strip():
         return []
@@ -61,12 +61,13 @@ def sentences(text: str | None) -> list[str]:
                 continue
             bare = _MARK.sub("", line)
             bare = _LOG.sub("", bare) if bare[:1] == "[" or bare[:1].isdigit() else bare
-            if fresh or bare != line or _END.search(items[-1]):
+            row = "\t" in bare.strip()
+            if fresh or row or bare != line or _END.search(items[-1]):
                 items.append(bare.strip())
             else:
                 glue = "" if items[-1][-1:] > "⺀" or bare.strip()[:1] > "⺀" else " "
                 items[-1] += glue + bare.strip()
-            fresh = False
+            fresh = row
         for item in items:
             out += [s for s in _CUT.split(item) if s and any(c.isalnum() for c in s)]
     return out

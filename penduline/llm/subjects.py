@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penduline.llm.sentences import sentences, words
-from penduline.session import broadcast_if_small, materialize
+from penduline.session import broadcast_if_small, materialize, spread
 
 RARE_ONE_IN = 20_000
 #: Rounds of the fit over all documents, and of inference within a document.
@@ -38,6 +38,8 @@ TYPICAL, MAPPED = 0.28, 0.22
 #: Top terms by which a topic is mapped, and the least evidence in a sentence: the sum
 #: over its words of the log of how many times likelier a word is in the topic than in a topic taken at random.
 TOP_TERMS, EVIDENCE = 30, 1.0
+#: How many times the evidence of the next topic it must be: words of no meaning, in number, speak for all topics alike.
+CLEARLY = 1.5
 SHARE = 0.25
 #: Words up to which a document counts in full in the fit; a longer one has the weight of so many words, so that a very
 #: long or repetitive text doesn't make a topic of its own.
@@ -65,7 +67,7 @@ def split_documents(documents: DataFrame) -> DataFrame:
                     ends.append(stops)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(every, schema.field(1).type), pa.array(ends, schema.field(2).type)], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, words array<string>, ends array<int>")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, words array<string>, ends array<int>")
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -225,13 +227,14 @@ def assign(model: TopicModel, encoded: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(lengths)), per_doc)
             stop = starts[doc] + ends
             begin = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
-            best = np.full(len(stop), -1)
-            top = np.full(len(stop), EVIDENCE)
+            best, top, next_to = np.full(len(stop), -1), np.zeros(len(stop)), np.zeros(len(stop))
             for k in range(len(odds)):
                 sums = np.concatenate([[0.0], np.cumsum(odds[k, ids])])
                 score = sums[stop] - sums[begin]
                 better = score > top
+                next_to = np.where(better, top, np.maximum(next_to, score))
                 best[better], top[better] = subject_of[k], score[better]
+            best[(top < EVIDENCE) | (top < CLEARLY * next_to)] = -1
             cells = np.bincount(doc[best >= 0] * n + best[best >= 0], minlength=0) if n else np.zeros(0, int)
             hit = np.nonzero(cells)[0]
             d = hit // max(n, 1)

@@ -18,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penduline.session import spread
+
 #: Where the vocabulary lies on the driver; executors get it by broadcast.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -172,7 +174,7 @@ def _with(documents: DataFrame, text: str, column: str, kind: str, vocabulary: s
     wanted = documents.select(*keep, F.col(text).alias(f"{column}__text"))
     schema = wanted.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[:-1])
-    return wanted.mapInArrow(run, f"{fields}, `{column}` {kind}")
+    return spread(wanted).mapInArrow(run, f"{fields}, `{column}` {kind}")
 
 
 def encode(documents: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

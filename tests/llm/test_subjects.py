@@ -16,7 +16,7 @@ TERMS = {
     (None, []), ("  \n ", []), ("One. Two! Three?", ["One.", "Two!", "Three?"]), ("# Title\n\n- first item\n* second item\n1. third", ["first item", "second item", "third"]),
     ("Hard line\nbreaks here. Next\none.", ["Hard line breaks here.", "Next one."]), ("[10:00:01] WARN It broke.\n[10:00:02] INFO It went on.", ["It broke.", "It went on."]),
     ("> quoted line.\r\nown line.\r\n> again.", ["quoted line.", "own line.", "again."]), ("<p>First.</p>\n<p>Second.</p>", ["First.", "Second."]),
-    ('{"note": ["A one.", "B two."], "rev": 5}', ["A one.", "B two."]), ("没有这个。还有那个？对！", ["没有这个。", "还有那个?", "对!"]), ("=====\n-----", []), ("[not json", ["[not json"]),
+    ('{"note": ["A one.", "B two."], "rev": 5}', ["A one.", "B two."]), ("没有这个。还有那个？对！", ["没有这个。", "还有那个?", "对!"]), ("=====\n-----", []), ("ab\t1\ncd\t2\nthe end\nof it.", ["ab\t1", "cd\t2", "the end of it."]), ("[not json", ["[not json"]),
 ])
 def test_sentences(text, expected):
     assert sentences(text) == expected
