@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penduline.session import materialize
+
 # The groups of a training view and the number of digits of a seed in a job id.
 VIEW_A_GROUPS = ("train", "test_id", "test_ood1")
 SEED_DIGITS = 6
@@ -94,7 +96,8 @@ def strided(rows: DataFrame, key: str, shards: int) -> DataFrame:
     """rows with shard: place in the order of key, modulo shards. Ranks come from a range-partitioned sort and the counts
     of the partitions before, so no task sees all rows."""
     spark = rows.sparkSession
-    ordered = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    # written once: the bounds of the ranges are sampled, and must be the same for the counts and for the ranks
+    ordered = materialize(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()))
     counts = {r[0]: r[1] for r in ordered.groupBy("_part").count().collect()}  # one row a partition
     before, start = 0, []
     for part in sorted(counts):
