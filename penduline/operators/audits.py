@@ -41,3 +41,15 @@ def start_frames(scores: DataFrame, fps: Column, floor: float, window: int = 8,
     after = s.join(onset, "series_id").groupBy("series_id").agg(F.first("onset").alias("onset"), F.regr_slope(F.when(F.col("frame") >= F.col("onset"), F.col("a")), F.col("frame").cast("double")).alias("trend"), F.max(fps).alias("fps"))
     rewind = F.greatest(F.lit(2), F.rint(0.05 * F.col("fps")).cast("int"))
     return after.select("series_id", "onset", F.when(F.col("onset").isNotNull(), F.greatest(F.lit(0), F.col("onset") - rewind)).cast("bigint").alias("start"), "trend", F.col("onset").isNotNull().alias("moving"))
+
+
+def entry_frames(components: DataFrame, expected: Column, least_share: float = 0.6) -> DataFrame:
+    """(series_id, usual_height, entry) from components(series_id, frame, height, x), of which a frame may have none or many: an
+    object is there if the tallest component has enough of the expected height or, where that is null, of the usual one
+    (80 % quantile); it enters where it stays and goes forwards."""
+    from penduline.operators import series
+
+    tall = components.groupBy("series_id", "frame").agg(F.max("height").alias("height"), F.max_by("x", F.struct("height", "x")).alias("x"), F.max(expected).alias("expected"))
+    usual = tall.groupBy("series_id").agg(F.percentile(F.when(F.col("height") > 0, F.col("height")), F.lit(0.8)).alias("usual_height"))
+    marked = tall.join(usual, "series_id").withColumn("present", F.coalesce(F.col("height") >= least_share * F.coalesce("expected", "usual_height"), F.lit(False)))
+    return series.entry_run(marked, "present", "x").join(usual, "series_id").select("series_id", "usual_height", "entry")

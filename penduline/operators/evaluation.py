@@ -29,10 +29,12 @@ def ladder(jobs: DataFrame, cases: DataFrame, predictions: DataFrame, supported:
     """jobs with scene_id (of the case, if the job has none), status, reason_code, score; the first rung that holds counts.
 
     jobs: job_id, case_id, evaluation_partition, ... cases: case_id, scene_id. predictions: job_id, complete, score.
+    Columns of jobs that are named like a result are replaced by it.
     supported: the scenes that have an evaluator, all by default. A complete prediction without a score is an error of
     its evaluator.
     """
     scene = cases.select(F.col("case_id"), F.col("scene_id").alias("case_scene"), F.lit(True).alias("known")).dropDuplicates(["case_id"])
+    jobs = jobs.drop("known", "case_scene", "records", "complete", "score", "status", "reason_code")
     own = "scene_id" in jobs.columns
     rows = jobs.join(scene, "case_id", "left").join(per_job(predictions), "job_id", "left")
     rows = rows.withColumn("scene_id", F.coalesce("scene_id", "case_scene") if own else F.col("case_scene"))

@@ -22,3 +22,11 @@ def test_start_frame(spark):
     rows += [("s", k, 0.1, 0.1, 60.0) for k in range(80, 400)]
     got = {r.series_id: r for r in audits.start_frames(spark.createDataFrame(rows, "series_id string, frame int, a double, b double, fps double"), F.col("fps"), 1.0).collect()}
     assert (got["s"].onset, got["s"].start, got["s"].moving) == (28, 25, True) and (got["still"].onset, got["still"].start, got["still"].moving) == (None, None, False)
+
+
+def test_entry_frames(spark):
+    rows = [("s", k, 20.0 if k >= 6 else 3.0, float(5 * k)) for k in range(20)] + [("s", k, 2.0, 90.0) for k in range(20)] + [("none", k, 0.0, 0.0) for k in range(9)]
+    df = spark.createDataFrame(rows, "series_id string, frame int, height double, x double")
+    got = {r.series_id: (r.usual_height, r.entry) for r in audits.entry_frames(df, F.lit(None).cast("double")).collect()}
+    assert got == {"s": (20.0, 6), "none": (None, None)}
+    assert {r.series_id: r.entry for r in audits.entry_frames(df, F.lit(4.0)).collect()}["s"] == 0

@@ -1,7 +1,7 @@
 import pytest
 from penduline.operators import evaluation as ev
 
-JOBS = "job_id string, case_id string, evaluation_partition string, status_extra string"
+JOBS = "job_id string, case_id string, evaluation_partition string, score string"
 PREDICTIONS = "job_id string, complete boolean, score double"
 
 
