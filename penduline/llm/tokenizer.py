@@ -50,7 +50,8 @@ def split_of(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
 
 
 class PrefixEncoder:
-    """Encodes by the last token of every prefix. Built from Token -> rank; every single byte must be a token."""
+    """Encodes by the last token of every prefix. Built from Token -> rank; every single byte must be a token. Tokens that
+    merging never makes (byte_bpe_50k has none) are never used."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         import ahocorasick
