@@ -12,8 +12,8 @@ from penduline.queries.series import _S, frames
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
     s = frames(spark, d)
-    a = s.where("series_id < 75").select(F.col("series_id").alias("job_id"), "frame", "time_s", F.col("y").alias("ax"), F.col("x").alias("ay"), F.col("valid").alias("av"))
-    b = s.where("series_id >= 75").select((F.col("series_id") - 75).alias("job_id"), "frame", F.col("y").alias("bx"), F.col("x").alias("by"), F.col("valid").alias("bv"))
+    a = s.select(F.col("series_id").alias("job_id"), "frame", "time_s", F.col("y").alias("ax"), F.col("x").alias("ay"), F.col("valid").alias("av"))
+    b = s.select((F.col("series_id") - 75).alias("job_id"), "frame", F.col("y").alias("bx"), F.col("x").alias("by"), F.col("valid").alias("bv"))
     row = lambda role, p: F.struct(F.lit(role).alias("role"), F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y"), F.col(f"{p}v").alias("valid"))
     both = a.join(b, ["job_id", "frame"]).select("job_id", "frame", "time_s", F.explode(F.array(row("reference", "a"), row("prediction", "b"))).alias("p"))
     return both.select("job_id", "p.role", F.lit(0).alias("obj"), "frame", "time_s", "p.x", "p.y", "p.valid")

@@ -1,8 +1,11 @@
+import json
 import math
 
 import numpy as np
 import pytest
 from penduline.operators import scoring
+from penduline.queries import scoring as queries
+from pyspark.sql import functions as F
 
 POINTS = "job_id string, role string, obj int, frame int, time_s double, x double, y double"
 MARKS = "job_id string, role string, frame int, time_s double, pivot_x double, pivot_y double, bob_x double, bob_y double, valid boolean"
@@ -103,3 +106,29 @@ def test_pendulum(spark):
     _, traces = scoring.pendulum_traces(marks)
     r = next(x for x in traces.collect() if x.job_id == "slow" and x.role == "prediction")
     assert r.period == pytest.approx(1.25) and r.amplitude == pytest.approx(0.3, abs=0.01) and r.length == pytest.approx(0, abs=1e-9)
+
+
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """Events of 234 users, of whom user 160 is missing: some are a reference, some a prediction, most both."""
+    users, d = [u for u in range(234) if u != 160], str(tmp_path_factory.mktemp("tables"))
+    rows = [(u * 100 + k, u, f"2024-01-01T00:00:{k:02d}", "error" if (u + k) % 9 == 0 else "view", float((u * 7 + k * k * 3) % 40), f'{{"k": {(u * 5 + k * 11) % 30}}}') for u in users for k in range(9 + u % 2)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{d}/events.parquet")
+    return d, users, rows
+
+
+def test_every_user_is_paired_with_the_one_75_on(spark, many_users):
+    d, users, rows = many_users
+    want = set()
+    for u in users:
+        if u + 75 in users:
+            for role, of in (("reference", u), ("prediction", u + 75)):
+                want |= {(u, role, k, json.loads(p)["k"], x, kind != "error") for e, v, _, kind, x, p in rows for k in [e % 100] if v == of and k < 9 + min(u % 2, (u + 75) % 2)}
+    got = [(r.job_id, r.role, r.frame, r.x, r.y, r.valid) for r in queries._points(spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["free_fall_score", "incline_score", "orbit_score", "collision_score", "pendulum_score"])
+def test_scores_of_more_than_150_users(spark, many_users, name):
+    d, users, _ = many_users
+    assert sorted(r.job_id for r in getattr(queries, name)(spark, d).collect()) == [u for u in users if u + 75 in users]
