@@ -1,8 +1,8 @@
 """Schemas that drift between the files of a stream.
 
 Each line is loaded as a map from path to (raw type, value); path and type statistics are aggregated by file; each file is
-compared with the one before it in its stream. The consistent table is then projected with a type for every column, and
-every value that doesn't fit its column is reported beside it.
+compared with the one before it in its stream. The consistent table then has a typed column for every field, renamings
+followed, and every value that doesn't fit its column is reported beside it.
 
 Bodies that aren't a complete JSON object count for nothing, but their file exists. Paths lead through objects only:
 arrays are values. A field that holds only nulls in a file has no type there.
@@ -10,7 +10,9 @@ arrays are values. A field that holds only nulls in a file has no type there.
 
 from __future__ import annotations
 
+import difflib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +23,10 @@ from penduline.session import materialize, spread
 
 _LINE = ["stream_id", "file_no"]
 _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", type(None): "null"}
+_KINDS = ("array", "boolean", "number", "string")
+
+#: Fields for which consistent() makes columns; it fails, rather than leave some out, where there are more.
+MOST_FIELDS = 10_000
 
 
 def _leaves(value: dict) -> Iterator[tuple[str, object]]:
@@ -149,6 +155,77 @@ def project(values: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame
                          F.transform_values(rest, lambda k, v: v["raw"]).alias("rest"))
 
 
+def column_map(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(stream_id, file_no, columns): columns maps each path of a file to the name its field had first in the stream.
+    Renamings are those of changes(), each path in one of them at most, likest names first. No two paths of a file share a
+    column: where a new path has the name of a field that goes on under another one, it is numbered."""
+    def follow(held: pa.Table) -> pa.Table:
+        paths, renamed, out = {}, {}, []
+        for r in held.to_pylist():
+            if r["new_path"] is None:
+                paths.setdefault(r["file_no"], set()).add(r["path"])
+            else:
+                renamed.setdefault(r["file_no"], []).append((r["path"], r["new_path"]))
+        before, known = {}, {}
+        for f in sorted(paths):
+            now = {p: before[p] for p in paths[f] if p in before}
+            spent = set()
+            for old, new in sorted(renamed.get(f, ()), key=lambda x: (-difflib.SequenceMatcher(None, *x).ratio(), *x)):
+                if old in before and old not in spent and new not in now:
+                    spent.add(old)
+                    now[new] = before[old]
+            taken = set(now.values())
+            for p in sorted(paths[f] - set(now)):
+                column, n = known.get(p, p), 1
+                while column in taken:
+                    n += 1
+                    column = f"{p} {n}"
+                now[p] = column
+                taken.add(column)
+            known |= now
+            before = now
+            out.append({"stream_id": held["stream_id"][0].as_py(), "file_no": f, "columns": list(now.items())})
+        return pa.Table.from_pylist(out, pa.schema([("stream_id", pa.string()), ("file_no", pa.int32()), ("columns", pa.map_(pa.string(), pa.string()))]))
+
+    renamed = changes(lines).where("change = 'renamed'").select(*_LINE, F.col("old_path").alias("path"), "new_path")
+    paths = leaves.where("stream_id IS NOT NULL AND file_no IS NOT NULL").select(*_LINE, "path", F.lit(None).cast("string").alias("new_path")).distinct()
+    return paths.unionByName(renamed).groupBy("stream_id").applyInArrow(follow, "stream_id string, file_no int, columns map<string, string>")
+
+
+def consistent(lines: DataFrame) -> DataFrame:
+    """One table of all lines with a typed column for every field: its type is the commonest of its values that aren't null
+    (of equally common ones the first by name). A value of another type leaves its column null and is listed in bad_casts;
+    nulls lists the paths that are null. Arrays are held as array<string>, elements that aren't strings as JSON."""
+    values = materialize(path_values(lines))
+    leaves = values.select(*_LINE, F.explode("fields").alias("path", "v")).select(*_LINE, "path")
+    cells = F.transform_keys(F.transform_values("fields", lambda k, v: F.struct(k.alias("path"), v["type"].alias("type"), v["raw"].alias("raw"))), lambda k, v: F.coalesce(F.col("columns")[k], k))
+    placed = materialize(values.join(column_map(lines, leaves), _LINE, "left").withColumn("cells", cells).drop("fields", "columns"))
+    whole = F.coalesce(F.bool_and(F.when(F.col("v.type") == "number", F.col("v.raw").rlike("^-?[0-9]+$") & F.col("v.raw").try_cast("bigint").isNotNull())), F.lit(False))
+    counted = placed.select(F.explode("cells").alias("field", "v")).groupBy("field").agg(whole.alias("whole"), *(F.count_if(F.col("v.type") == t).alias(t) for t in _KINDS)).limit(MOST_FIELDS + 1).collect()
+    if len(counted) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields: no table can have a column for each")
+    fixed = ["row_no", "stream_id", "kind", "file_no", "line_no", "site"]
+    used, columns, kinds = {*fixed, "bad_casts", "nulls"}, [], []
+    for r in sorted(counted, key=lambda r: r.field):
+        kind = min(_KINDS, key=lambda t: (-r[t], t)) if any(r[t] for t in _KINDS) else "string"
+        stem = name = re.sub(r"\W+", "_", r.field).lower() or "_"  # Spark takes names that differ in case for one
+        n = 1
+        while name in used:
+            n += 1
+            name = f"{stem}_{n}"
+        used.add(name)
+        cell = F.col("cells")[r.field]
+        raw = F.when(cell["type"] == kind, cell["raw"])
+        to = {"string": raw, "boolean": raw.try_cast("boolean"), "array": F.from_json(raw, "array<string>"), "number": raw.try_cast("bigint" if r.whole else "double")}[kind]
+        columns.append(to.alias(name, metadata={"field": r.field}))
+        kinds.append((r.field, kind))
+    of = F.from_json(F.lit(json.dumps(dict(kinds))), "map<string, string>")
+    said = F.transform(F.map_entries("cells"), lambda e: F.struct(e["value"]["path"].alias("path"), e["value"]["raw"].alias("raw"), e["value"]["type"].alias("type"), of[e["key"]].alias("column_type")))
+    bad = F.filter(said, lambda x: (x["type"] != "null") & (x["type"] != x["column_type"]))
+    nulls = F.array_sort(F.transform(F.filter(said, lambda x: x["type"] == "null"), lambda x: x["path"]))
+    return placed.select(*fixed, *columns, F.array_sort(bad).alias("bad_casts"), nulls.alias("nulls"))
+
+
 def cast_report(table: DataFrame) -> DataFrame:
     """Failed casts by stream, file and path."""
     return table.select(*_LINE, F.explode("bad_casts").alias("bad")).groupBy(*_LINE, F.col("bad.path").alias("path")).agg(F.count("*").alias("n_failed"))

@@ -7,14 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from penduline.operators import drift, orphans, overlap, shred, snapshots
 from penduline.session import table
 
-#: Columns of the consistent manifest table: name -> (path, type).
-MANIFEST_COLUMNS = {
-    "schema_version": ("schema_version", "string"), "view": ("view", "string"), "coverage": ("coverage", "string"), "seed": ("seed", "bigint"),
-    "group_count": ("group_count", "int"), "case_set_sha256": ("case_set_sha256", "string"), "profile_id": ("profile_id", "string"),
-    "display_name": ("display_name", "string"), "language": ("language", "string"), "includes_physical_parameters": ("includes_physical_parameters", "boolean"),
-    "slide_base_prompt": ("scenes.decelerated_slide.base_prompt", "string"), "pendulum_train": ("scenes.pendulum.train", "array<string>"),
-}
-
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(table(spark, d, "view_a"), table(spark, d, "cases"))
@@ -57,7 +49,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.project(drift.path_values(table(spark, d, "manifest_lines")), MANIFEST_COLUMNS)
+    return drift.consistent(table(spark, d, "manifest_lines"))
 
 
 def p5_casts(spark: SparkSession, d: str) -> DataFrame:

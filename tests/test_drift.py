@@ -92,5 +92,40 @@ def test_projection_reports_failed_casts(spark):
     assert drift.cast_report(table).count() == 2
 
 
+def test_consistent_table_types_every_field_and_follows_renamings(spark):
+    rows = [
+        ("s", 1, {"site": "a", "v": "1", "n": 7, "deep": {"tags": ["x", 2]}, "on": True, "void": None}), ("s", 1, {"site": "b", "v": "2", "n": 2.5}),
+        ("s", 2, {"site": "a", "meta": {"v": "1"}, "n": "7", "deep": {"tags": "x"}}), ("s", 2, {"site": "b", "meta": {"v": "2"}, "n": 8}),
+        ("s", 3, {"site": "a", "meta": {"v": 3}, "v": "another", "N": 4}), ("t", 1, {"site": "a", "v": None, "n": 1, "kind": "k"}), (None, 1, {"v": "lone"}), ("s", 4, "{broken"),
+    ]
+    df = drift.consistent(_lines(spark, rows))
+    assert dict(df.dtypes) | {"v": "string", "n_2": "double", "n": "bigint", "deep_tags": "array<string>", "on": "boolean", "void": "string", "kind_2": "string", "v_2": "string"} == dict(df.dtypes)
+    got = sorted(df.collect(), key=lambda r: r.row_no)
+    assert [r.v for r in got] == ["1", "2", "1", "2", None, None, "lone"]
+    assert [r.v_2 for r in got] == [None, None, None, None, "another", None, None]
+    assert [r.n_2 for r in got] == [7, 2.5, None, 8, None, 1, None] and got[4].n == 4
+    assert got[0].deep_tags == ["x", "2"] and got[0].on is True and got[0].nulls == ["void"] and got[5].kind_2 == "k" and got[5].nulls == ["v"]
+    assert [[tuple(x)[:3] for x in r.bad_casts] for r in got] == [[], [], [("deep.tags", "x", "string"), ("n", "7", "string")], [], [("meta.v", "3", "number")], [], []]
+    assert {tuple(r) for r in drift.cast_report(df).collect()} == {("s", 2, "deep.tags", 1), ("s", 2, "n", 1), ("s", 3, "meta.v", 1)}
+
+
+def test_consistent_table_keeps_every_value(spark):
+    rng = random.Random(3)
+    rows, names = [], [f"f{k}" for k in range(5)]
+    for f in range(1, 7):
+        names = [n if rng.random() < 0.6 else f"{n[:2]}_{f}" for n in names]
+        rows += [("s", f, {"site": f"s{x}", **{n: rng.choice([x, True, "w", [x], None]) if k == 4 else x // 2 + k // 2 for k, n in enumerate(names)}}) for x in range(4)]
+    for r in drift.consistent(_lines(spark, rows)).collect():
+        said = [v for k, v in rows[r.row_no][2].items() if k != "site"]
+        held = r.asDict()
+        bad, nulls = held.pop("bad_casts"), held.pop("nulls")
+        cells = [v for k, v in held.items() if k not in ("row_no", "stream_id", "kind", "file_no", "line_no", "site") and v is not None]
+        assert len(cells) + len(bad) + len(nulls) == len(said)
+
+
 def test_empty(spark):
     assert drift.changes(_lines(spark, [])).count() == 0
+
+
+def test_consistent_of_nothing(spark):
+    assert drift.consistent(_lines(spark, [])).count() == 0
