@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,7 +19,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once an application: they needn't have it installed."""
+    """Prepare a session: give this package to the executors' Python workers, once an application (they needn't have it
+    installed), and have unions promise no partitioning. In Spark 4.1 a union of sides partitioned by the same key passes
+    for partitioned by it even where adaptive execution merged their partitions differently; what follows then misses rows."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         home = Path(__file__).resolve().parent
@@ -37,20 +41,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A folder of this machine is used only where the cluster names none (tests)."""
+    """The folder all executors share. Where the cluster names none, a folder of this machine is used if the master is
+    local (tests); on any other master that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="penduline-")
+        if held.isDefined():
+            named = held.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            named = tempfile.mkdtemp(prefix="penduline-")
+        else:
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_WRITTEN: set[str] = set()
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in this application's part of the shared folder, which is deleted when the application ends."""
+    home = f"{shared_dir(spark)}/penduline-{spark.sparkContext.applicationId}"
+    if home not in _WRITTEN:
+        _WRITTEN.add(home)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{home}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as parquet into the shared folder and read it back: the lineage is cut, and the loss of an executor
     costs nothing that was already computed."""
     ship(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
