@@ -24,7 +24,7 @@ from penduline.session import materialize
 
 #: A word is frequent if more than OFTEN records and more than one of FREQUENT_ONE_IN have it. As the words of all records
 #: number at most records x mean length, at most FREQUENT_ONE_IN x mean length are frequent: the broadcast list is bounded.
-OFTEN, FREQUENT_ONE_IN = 50, 10_000
+OFTEN, FREQUENT_ONE_IN = 500, 10_000
 #: Words up to which frequent words are paired; at most 43 words are then in question, so 903 pairs.
 LONG = 200
 
@@ -132,7 +132,7 @@ def marked(classes: DataFrame) -> DataFrame:
                     names=["class_id", "of_train", "of_eval", "n", "tokens", "keys", "b0", "b1", "b2", "b3"])
 
     return classes.where(F.size("bag") > 0).select("class_id", "of_train", "of_eval", "bag").mapInArrow(
-        emit, "class_id string, of_train boolean, of_eval boolean, n int, tokens array<bigint>, keys array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+        emit, "class_id binary, of_train boolean, of_eval boolean, n int, tokens array<bigint>, keys array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def text_classes(train: DataFrame, evaluation: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +143,7 @@ def text_classes(train: DataFrame, evaluation: DataFrame, texts: DataFrame) -> t
     bags = texts.where("text IS NOT NULL").select("case_id", words(F.col("text")).alias("bag")).where(F.size("bag") > 0)
     members = materialize(
         bags.join(sides, "case_id")
-        .select("case_id", "is_train", "bag", F.substring(F.sha2(F.array_join("bag", " "), 256), 1, 32).alias("class_id"))
+        .select("case_id", "is_train", "bag", F.substring(F.unhex(F.sha2(F.array_join("bag", " "), 256)), 1, 16).alias("class_id"))
     )
     classes = members.groupBy("class_id").agg(
         F.first("bag").alias("bag"), F.max("is_train").alias("of_train"), F.max(~F.col("is_train")).alias("of_eval"))
