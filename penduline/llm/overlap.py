@@ -6,7 +6,9 @@ copy. Near copies meet through hashes of their rarest words: when at least four
 shared, the two lists of words, ordered from rare to frequent, share a word within their first n - ceil(0.8 n) + 1, and their
 two first shared words lie within one more. A rare word is a key by itself; of frequent words it takes two, so that a word
 that all records share doesn't bring all of them together. Two classes that differ share two words at least, so both
-keys are there. Texts of more than LONG words, which would have too many pairs, use single words throughout.
+keys are there. Texts of more than LONG words, which would have too many pairs, use single words throughout. Under frequent
+words only those records meet whose lengths allow a match: of a record of n words that shares none of its first k, the
+partner has 5/4 (n - k) words at most.
 The candidates are then verified on whole lists of 64-bit word hashes, so no pair is lost, and none is wrong but by a
 collision of hashes within one pair of texts.
 """
@@ -25,7 +27,7 @@ from penduline.session import materialize
 #: A word is frequent if more than OFTEN records and more than one of FREQUENT_ONE_IN have it. As the words of all records
 #: number at most records x mean length, at most FREQUENT_ONE_IN x mean length are frequent: the broadcast list is bounded.
 OFTEN, FREQUENT_ONE_IN = 500, 10_000
-#: Words up to which frequent words are paired; at most 43 words are then in question, so 903 pairs.
+#: Words up to which frequent words are paired; at most 42 words are then in question, so 861 pairs.
 LONG = 200
 
 
@@ -66,8 +68,9 @@ def _within(starts: np.ndarray, total: int) -> np.ndarray:
     return np.arange(total) - np.maximum.accumulate(begins)
 
 
-def _marks(bags: pa.ListArray, frequent: dict[str, int]) -> tuple[np.ndarray, ...]:
-    """For the sorted bags of a batch: lengths, token hashes, key counts, keys and sketches (rows of four integers).
+def _marks(bags: pa.ListArray, frequent: dict[str, int]) -> tuple:
+    """For the sorted bags of a batch: lengths, token hashes, sketches (rows of four integers), (rare words that are keys, whose)
+    and (keys of frequent words, whose, own and longest length class in question).
 
     Repeats are tokens of their own (a, a -> a first, a second), so that the overlap of bags is that of sets."""
     import xxhash
@@ -92,26 +95,52 @@ def _marks(bags: pa.ListArray, frequent: dict[str, int]) -> tuple[np.ndarray, ..
     n = lengths[doc]
     needed = n - (4 * n + 4) // 5 + 1
     ranked, hot = token[order], count[order] > 0
-    alone = (place < needed) & (~hot | (5 * n > 4 * LONG))
+    rare = (place < needed) & ~hot
+    singles, single_of = ranked[rare], doc[rare]
+
+    # keys of frequent words, whose they are and the place of their first word
+    lone = (place < needed) & hot & (5 * n > 4 * LONG)
     paired = (place <= needed) & hot & (n <= LONG)
-    keys, owner = [ranked[alone]], [doc[alone]]
+    keys, owner, at = [ranked[lone]], [doc[lone]], [place[lone]]
     per_doc = np.bincount(doc[paired], minlength=len(lengths))
     begin = np.concatenate([[0], np.cumsum(per_doc)])
-    kept = ranked[paired]
+    kept, kept_at = ranked[paired], place[paired]
     for m in np.unique(per_doc[per_doc > 1]):
         of = np.nonzero(per_doc == m)[0]
-        block = kept[begin[of][:, None] + np.arange(m)]
+        cells = begin[of][:, None] + np.arange(m)
         i, j = np.triu_indices(m, 1)
-        keys.append(_mixed(block[:, i] * np.uint64(3) + block[:, j]).ravel())
+        keys.append(_mixed(kept[cells[:, i]] * np.uint64(3) + kept[cells[:, j]]).ravel())
         owner.append(np.repeat(of, len(i)))
-    key, own = np.concatenate(keys), np.concatenate(owner)
-    by_doc = np.argsort(own, kind="stable")
-    return lengths, token.view(np.int64), np.bincount(own, minlength=len(lengths)), key[by_doc].view(np.int64), sketch
+        at.append(kept_at[cells[:, i]].ravel())
+    key, own, place_of = np.concatenate(keys), np.concatenate(owner), np.concatenate(at)
+    # n words, of which `place_of` are not shared, match at most 5/4 of the rest: a record looks for longer ones up to there
+    low, high = _length_class(lengths[own]), _length_class(5 * (lengths[own] - place_of) // 4)
+    return lengths, token.view(np.int64), sketch, (singles, single_of), (key, own, low, high)
+
+
+def _length_class(n: np.ndarray) -> np.ndarray:
+    """Classes of lengths, each an eighth longer than the one before."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.12) + 1e-9).astype(np.int64)
+
+
+def _side_keys(singles: tuple, framed: tuple, wanted: np.ndarray, of_train: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of keys, keys) of the records wanted. Rare words are keys as they are. With frequent ones, a training record
+    shows its length class to shorter evaluation records and looks for those of its class or longer; and the other way."""
+    key, own, low, high = (x[wanted[framed[1]]] for x in framed)
+    first = low if of_train else low + 1
+    each = np.maximum(high - first + 1, 0)
+    sought = np.repeat(first, each) + _within((np.cumsum(each) - each)[each > 0], int(each.sum()))
+    step, look, show = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 if of_train else 2), np.uint64(2 if of_train else 1)
+    kept = wanted[singles[1]]
+    every = np.concatenate([singles[0][kept], _mixed(key + low.astype(np.uint64) * step + show), _mixed(np.repeat(key, each) + sought.astype(np.uint64) * step + look)])
+    of = np.concatenate([singles[1][kept], own, np.repeat(own, each)])
+    return np.bincount(of, minlength=len(wanted)), every[np.argsort(of, kind="stable")].view(np.int64)
 
 
 def marked(classes: DataFrame) -> DataFrame:
-    """(class_id, of_train, of_eval, n, tokens, keys, b0..b3) of classes(class_id, of_train, of_eval, bag): n words, their
-    hashes, the keys under which the class may meet others, and a sketch: each word flips one of 256 bits."""
+    """(class_id, of_train, of_eval, n, tokens, t_keys, e_keys, b0..b3) of classes(class_id, of_train, of_eval, bag): n words,
+    their hashes, the keys under which the class may meet others as one of training and as one of evaluation, and a sketch:
+    each word flips one of 256 bits."""
     total = classes.count()
     frequent = (
         classes.select(F.explode(F.array_distinct("bag")).alias("word"))
@@ -125,14 +154,15 @@ def marked(classes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 bags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(part["bag"].offsets.to_numpy()))]), pa.int32()), part["bag"].flatten())
-                lengths, tokens, n_keys, keys, sketch = _marks(bags, heavy)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(v)) for k, v in ((lengths, tokens), (n_keys, keys))]
+                lengths, tokens, sketch, singles, framed = _marks(bags, heavy)
+                sides = [_side_keys(singles, framed, part[f].to_numpy(zero_copy_only=False).astype(bool), f == "of_train") for f in ("of_train", "of_eval")]
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(v)) for k, v in ((lengths, tokens), *sides)]
                 yield pa.RecordBatch.from_arrays(
                     [part["class_id"], part["of_train"], part["of_eval"], pa.array(lengths, pa.int32()), *lists, *(pa.array(sketch[:, k]) for k in range(4))],
-                    names=["class_id", "of_train", "of_eval", "n", "tokens", "keys", "b0", "b1", "b2", "b3"])
+                    names=["class_id", "of_train", "of_eval", "n", "tokens", "t_keys", "e_keys", "b0", "b1", "b2", "b3"])
 
     return classes.where(F.size("bag") > 0).select("class_id", "of_train", "of_eval", "bag").mapInArrow(
-        emit, "class_id binary, of_train boolean, of_eval boolean, n int, tokens array<bigint>, keys array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+        emit, "class_id binary, of_train boolean, of_eval boolean, n int, tokens array<bigint>, t_keys array<bigint>, e_keys array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def text_classes(train: DataFrame, evaluation: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,14 +186,14 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     without the pairs of copies."""
     marks = materialize(marked(classes))
 
-    def side(flag: str, mark: str) -> DataFrame:
+    def side(mark: str) -> DataFrame:
         names = {"class_id": "class", "n": "n", "b0": "b0", "b1": "b1", "b2": "b2", "b3": "b3"}
-        return marks.where(flag).select(F.explode("keys").alias("key"), *(F.col(c).alias(f"{mark}_{a}") for c, a in names.items()))
+        return marks.select(F.explode(f"{mark}_keys").alias("key"), *(F.col(c).alias(f"{mark}_{a}") for c, a in names.items()))
 
     longer = F.greatest("t_n", "e_n")
     apart = sum((F.bit_count(F.col(f"t_b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(4)), F.lit(0))
     # words of one text only flip bits, so the sketches differ in no more bits than the texts in words
-    candidates = side("of_train", "t").join(side("of_eval", "e"), "key").where(
+    candidates = side("t").join(side("e"), "key").where(
         (5 * F.least("t_n", "e_n") >= 4 * longer) & (5 * (F.col("t_n") + F.col("e_n") - apart) >= 8 * longer) & (F.col("t_class") != F.col("e_class"))
     ).select("t_class", "e_class").distinct()
     tokens = {m: marks.select(F.col("class_id").alias(f"{m}_class"), F.col("tokens").alias(f"{m}_tokens")) for m in "te"}
