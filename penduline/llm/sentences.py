@@ -14,7 +14,11 @@ _HEADING = re.compile(r"^\s*#{1,6}\s")
 _END = re.compile(r"[.!?。！？…]['\"”’»)\]]*\s*$")
 _CUT = re.compile(r"(?<=[.!?…])['\"”’»)\]]*\s+|(?<=[。！？])|(?<=[!?])(?=[㐀-鿿])|(?<=[㐀-鿿][!?])(?=\S)")
 _CODE = re.compile(r"(?<![^\W_㐀-鿿])(?=[a-z]*\d)(?=\d*[a-z])[a-z\d]+(?![^\W_㐀-鿿])|([a-z])\1{5,}")
-_WORD = re.compile(r"[^\W\d_㐀-鿿]+(?:_[^\W㐀-鿿]+)+|[㐀-鿿]+|[^\W\d_㐀-鿿]+")
+_CODED = re.compile(r"[a-z]\d|\d[a-z]|([a-z])\1{5}")
+_WORD = re.compile(r"[^\W\d_㐀-鿿]+(?:_[^\W㐀-鿿]+)*|[㐀-鿿]+|\n")
+_ASCII_WORD = re.compile(r"[a-z]+(?:_[a-z0-9_]+)*|\n")
+# characters that only steer the layout
+_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in (*range(0x20000), *range(0xE0000, 0xE1000)) if unicodedata.category(chr(c)) == "Cf") + "]")
 
 
 def _strings(value: object) -> list[str]:
@@ -45,7 +49,7 @@ def sentences(text: str | None) -> list[str]:
             pass
     out: list[str] = []
     for block in blocks:
-        b = "".join(c for c in unicodedata.normalize("NFKC", block) if unicodedata.category(c) != "Cf")
+        b = block if block.isascii() else _FORMAT.sub("", unicodedata.normalize("NFKC", block))
         if "<" in b:
             b = _TAG.sub("\n", b)
         if "&" in b:
@@ -73,13 +77,26 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-def words(sentence: str) -> list[str]:
-    """Lower-case words; codes of letters and digits and long runs of a letter are none; names joined by underscores stay
-    whole; of Chinese, the pairs of characters."""
-    out = []
-    for w in _WORD.findall(_CODE.sub(" ", sentence.casefold())):
-        if "㐀" <= w[0] <= "鿿":
-            out += [w[k : k + 2] for k in range(len(w) - 1)] if len(w) > 1 else []
+def sentence_words(sentences: list[str]) -> list[list[str]]:
+    """The lower-case words of each sentence; codes of letters and digits and long runs of a letter are none; names joined by
+    underscores stay whole; of Chinese, the pairs of characters."""
+    text = "\n".join([s.replace("\n", " ") if "\n" in s else s for s in sentences]).casefold()
+    if _CODED.search(text):
+        text = _CODE.sub(" ", text)
+    now: list[str] = []
+    out = [now]
+    for w in (_ASCII_WORD if text.isascii() else _WORD).findall(text):
+        if w == "\n":
+            now = []
+            out.append(now)
         elif len(w) > 1:
-            out.append(w)
-    return out
+            if "㐀" <= w[0] <= "鿿":
+                now += [w[k : k + 2] for k in range(len(w) - 1)]
+            else:
+                now.append(w)
+    return out if sentences else []
+
+
+def words(sentence: str) -> list[str]:
+    """The words of one sentence."""
+    return sentence_words([sentence])[0]
