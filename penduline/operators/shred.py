@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penduline.session import spread
+from penduline.session import fresh_path, spread
 
 #: Table -> the table of its parents.
 PARENT_OF = {
@@ -38,6 +38,8 @@ SCHEMAS = {
     "step_input": "frame INT, mask STRUCT<rle: ARRAY<INT>>",
 }
 
+_TAGGED = "record_id BIGINT, item_path STRING, parent_tag STRING, parent_path STRING, payload STRING, tag STRING"
+
 #: part of the case -> (table, field that names a listed entry, list inside an entry, its table, field of a bare value)
 PARTS = {
     "physical_parameters": ("quantity", "name", "readings", "reading", "value"),
@@ -90,45 +92,57 @@ def entries(part: object, name_field: str) -> Iterator[tuple[str, object]]:
 
 
 def visit(case: dict) -> Iterator[tuple[str, str, str | None, object]]:
-    """(table, path, parent path, payload) depth first."""
-    yield "case", "", None, case
+    """(table, path, parent path, payload) depth first. The payload is what no row below it holds: the lists of children are
+    left out, but parts of an unforeseen shape stay."""
+    generator = case.get("provenance").get("generator") if isinstance(case.get("provenance"), dict) else None
+    steps = generator.get("steps") if isinstance(generator, dict) else None
+    own = {k: v for k, v in case.items() if k not in PARTS or not isinstance(v, dict | list)}
+    if isinstance(steps, list):
+        own["provenance"] = case["provenance"] | {"generator": {k: v for k, v in generator.items() if k != "steps"}}
+    yield "case", "", None, own
     for part, (table, name_field, inner, inner_table, bare) in PARTS.items():
         for name, entry in entries(case.get(part), name_field):
             if entry is None:
                 continue
-            yield table, name, "", entry if isinstance(entry, dict) else {bare: entry}
             held = entry.get(inner) if isinstance(entry, dict) else None
+            yield table, name, "", _without(entry, inner, bare)
             for k, item in enumerate(held if isinstance(held, list) else []):
                 if item is not None:
                     yield inner_table, f"{name}/{k}", name, item if isinstance(item, dict) else {"value": item}
-    generator = (case.get("provenance") or {}).get("generator") if isinstance(case.get("provenance"), dict) else None
-    steps = generator.get("steps") if isinstance(generator, dict) else None
     for k, step in enumerate(steps if isinstance(steps, list) else []):
         if step is None:
             continue
-        yield "step", str(k), "", step if isinstance(step, dict) else {"op": step}
+        yield "step", str(k), "", _without(step, "inputs", "op")
         inputs = step.get("inputs") if isinstance(step, dict) else None
         for j, item in enumerate(inputs if isinstance(inputs, list) else []):
             if item is not None:
                 yield "step_input", f"{k}/{j}", str(k), item if isinstance(item, dict) else {"frame": item}
 
 
-def shred(records: DataFrame, payload: bool = True) -> DataFrame:
+def _without(entry: object, inner: str, bare: str) -> dict:
+    """An entry without its list of children; a bare value under the name of its field."""
+    if not isinstance(entry, dict):
+        return {bare: entry}
+    return {k: v for k, v in entry.items() if k != inner} if isinstance(entry.get(inner), list) else entry
+
+
+def shred(records: DataFrame) -> DataFrame:
     """(record_id, tag, item_path, parent_tag, parent_path, payload): one row per object found. A record that holds
     several cases gives the rows of each of them."""
     schema = pa.schema([("record_id", pa.int64()), ("tag", pa.string()), ("item_path", pa.string()),
                         ("parent_tag", pa.string()), ("parent_path", pa.string()), ("payload", pa.string())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = json.JSONEncoder(ensure_ascii=False).encode
         for batch in batches:
-            out: list[tuple] = []
-            for record_id, body in zip(batch["record_id"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                for case in find_cases(parse(body)):
-                    for tag, path, parent, held in visit(case):
-                        out.append((record_id, tag, path, PARENT_OF[tag], parent,
-                                    json.dumps(held, ensure_ascii=False) if payload else None))
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for at in range(0, max(1, batch.num_rows), 512):
+                part = batch.slice(at, 512)
+                out: list[tuple] = []
+                for record_id, body in zip(part["record_id"].to_pylist(), part["body"].to_pylist(), strict=True):
+                    for case in find_cases(parse(body)):
+                        out += [(record_id, tag, path, PARENT_OF[tag], parent, written(held)) for tag, path, parent, held in visit(case)]
+                columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return spread(records.select("record_id", "body")).mapInArrow(
         emit, "record_id bigint, tag string, item_path string, parent_tag string, parent_path string, payload string")
@@ -139,6 +153,13 @@ def write_tables(records: DataFrame, path: str) -> None:
     shred(records).write.partitionBy("tag").mode("errorifexists").parquet(path)
 
 
+def tables(records: DataFrame) -> dict[str, DataFrame]:
+    """All tables of some records, written in one pass into the shared folder and read back under their schemas."""
+    path = fresh_path(records.sparkSession)
+    write_tables(records, path)
+    return {tag: read_table(records.sparkSession, path, tag) for tag in SCHEMAS}
+
+
 def typed(tagged: DataFrame, tag: str) -> DataFrame:
     """One table: keys plus the columns of its schema; `payload` stays, so a value of an unforeseen shape isn't lost."""
     return (
@@ -151,15 +172,22 @@ def typed(tagged: DataFrame, tag: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """A table written by write_tables; only its own partition is read."""
-    return typed(spark.read.parquet(path), tag)
+    return typed(spark.read.schema(_TAGGED).parquet(path), tag)
 
 
 def found(records: DataFrame) -> DataFrame:
-    """(record_id, child_table, item_path) of every child row."""
-    return shred(records, payload=False).where("tag <> 'case'").select("record_id", F.col("tag").alias("child_table"), "item_path")
+    """(record_id, child_table, item_path) of every child row of the written tables."""
+    every = None
+    for tag, rows in tables(records).items():
+        if PARENT_OF[tag] is not None:
+            rows = rows.select("record_id", F.lit(tag).alias("child_table"), "item_path")
+            every = rows if every is None else every.unionByName(rows)
+    return every
 
 
 def table_sizes(records: DataFrame) -> DataFrame:
     """Rows and records of each table."""
-    return shred(records, payload=False).groupBy("tag").agg(
+    path = fresh_path(records.sparkSession)
+    write_tables(records, path)
+    return records.sparkSession.read.schema(_TAGGED).parquet(path).groupBy("tag").agg(
         F.count("*").alias("n_rows"), F.countDistinct("record_id").alias("n_records"))

@@ -3,25 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from penduline.operators import drift, orphans, overlap, shred, snapshots
+from penduline.operators import drift, orphans, shred, snapshots
 from penduline.session import table
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.found(table(spark, d, "view_a"), table(spark, d, "cases"))
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return shred.found(table(spark, d, "case_records"))
 
 
-def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.counts(table(spark, d, "view_a"), table(spark, d, "cases"))
+def _flat(spark: SparkSession, d: str, tag: str) -> DataFrame:
+    return shred.tables(table(spark, d, "case_records"))[tag].drop("payload")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.found(table(spark, d, "case_records"))
+def p2_quantities(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "quantity")
 
 
-def p2_quantities(spark: SparkSession, d: str) -> DataFrame:
-    return shred.typed(shred.shred(table(spark, d, "case_records")), "quantity").drop("payload")
+def p2_readings(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "reading")
+
+
+def p2_views(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "view")
+
+
+def p2_crops(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "crop")
+
+
+def p2_assets(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "asset")
+
+
+def p2_renditions(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "rendition")
+
+
+def p2_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The arguments of a step come as rows of their own here, as maps have no order."""
+    steps = _flat(spark, d, "step")
+    return steps.select("record_id", "item_path", "op", F.explode_outer("args").alias("arg", "arg_value"))
+
+
+def p2_step_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "step_input").select("record_id", "item_path", "parent_path", "frame", F.col("mask.rle").alias("mask_rle"))
+
+
+def p2_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "case").select("record_id", "schema_version", "case_id", "scene_id", F.col("ood.level").alias("ood_level"), F.col("ood.factors").alias("ood_factors"))
 
 
 def p2_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -56,4 +87,6 @@ def p5_casts(spark: SparkSession, d: str) -> DataFrame:
     return drift.cast_report(p5_table(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_quantities, p2_tables, p3_found, p3_digests, p4_found, p4_report, p5_found, p5_table, p5_casts)}
+QUERIES = {f.__name__: f for f in (
+    p2_found, p2_tables, p2_cases, p2_quantities, p2_readings, p2_views, p2_crops, p2_assets, p2_renditions, p2_steps, p2_step_inputs, p3_found, p3_digests, p4_found, p4_report, p5_found, p5_table, p5_casts,
+)}

@@ -2,32 +2,6 @@
 
 from __future__ import annotations
 
-_MEMBERS = """
-last_release AS (SELECT dataset_id, max(release_no) AS release_no FROM view_a WHERE dataset_id IS NOT NULL GROUP BY dataset_id),
-last_delivery AS (SELECT v.dataset_id, v.release_no, max(v.delivered_at) AS at FROM view_a v JOIN last_release l ON v.dataset_id = l.dataset_id AND v.release_no = l.release_no GROUP BY ALL),
-scene_rows AS (SELECT unnest(map_entries(v.scenes)) AS s FROM view_a v JOIN last_delivery l ON v.dataset_id = l.dataset_id AND v.release_no = l.release_no AND v.delivered_at IS NOT DISTINCT FROM l.at),
-group_rows AS (SELECT unnest(map_entries(s.value)) AS g FROM scene_rows),
-members AS (SELECT DISTINCT * FROM (SELECT g.key AS split, unnest(g.value) AS case_id FROM group_rows) WHERE case_id IS NOT NULL),
-train AS (SELECT DISTINCT case_id FROM members WHERE split = 'train'),
-evaluation AS (SELECT DISTINCT case_id FROM members WHERE split IN ('test_id', 'test_ood1')),
-texts AS (SELECT DISTINCT case_id, text.description AS t FROM cases WHERE text.description IS NOT NULL),
-word_rows AS (SELECT case_id, t, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{Nd}]+')) AS w FROM texts),
-bags AS (SELECT case_id, t, w, count(*) AS n FROM word_rows GROUP BY ALL),
-sizes AS (SELECT case_id, t, sum(n) AS total FROM bags GROUP BY ALL),
-shared AS (
-  SELECT a.case_id AS train_id, a.t AS t_a, b.case_id AS eval_id, b.t AS t_b, sum(least(a.n, b.n)) AS common
-  FROM (SELECT * FROM bags WHERE case_id IN (SELECT case_id FROM train)) a
-  JOIN (SELECT * FROM bags WHERE case_id IN (SELECT case_id FROM evaluation)) b ON a.w = b.w AND a.case_id <> b.case_id GROUP BY ALL),
-similar_text AS (
-  SELECT DISTINCT s.train_id, s.eval_id FROM shared s JOIN sizes a ON a.case_id = s.train_id AND a.t = s.t_a JOIN sizes b ON b.case_id = s.eval_id AND b.t = s.t_b
-  WHERE 5 * s.common >= 4 * greatest(a.total, b.total)),
-why AS (
-  SELECT case_id AS train_id, case_id AS eval_id, 'same_id' AS why FROM train WHERE case_id IN (SELECT case_id FROM evaluation)
-  UNION ALL SELECT train_id, eval_id, 'similar_text' FROM similar_text
-  UNION ALL SELECT DISTINCT provenance.parent_case_id, case_id, 'parent' FROM cases
-    WHERE case_id IN (SELECT case_id FROM evaluation) AND provenance.parent_case_id IN (SELECT case_id FROM train))
-"""
-
 _SNAPSHOTS = """
 named AS (SELECT * FROM view_a WHERE dataset_id IS NOT NULL AND release_no IS NOT NULL),
 deliveries AS (SELECT dataset_id, release_no, max(delivered_at) AS at FROM named GROUP BY ALL),
@@ -81,14 +55,65 @@ renamed AS (SELECT g.stream_id, g.file_no, g.path AS old_path, c.path AS new_pat
   GROUP BY ALL HAVING bool_and(a.v = b.v))
 """
 
+_RECORDS = """
+-- values and the texts in them that are JSON themselves, down to objects that are cases
+walk(record_id, j) AS (
+  SELECT record_id, ltrim(body, chr(65279))::JSON FROM case_records WHERE json_valid(ltrim(body, chr(65279)))
+  UNION ALL
+  SELECT record_id, e.v FROM walk, LATERAL (
+    SELECT unnest(CASE json_type(j)
+      WHEN 'ARRAY' THEN json_extract(j, '$[*]')
+      WHEN 'OBJECT' THEN CASE WHEN list_contains(json_keys(j), 'case_id') THEN [] ELSE json_extract(j, '$.*') END
+      WHEN 'VARCHAR' THEN CASE WHEN json_valid(ltrim(j->>'$', chr(65279))) AND left(ltrim(j->>'$', chr(65279) || ' ' || chr(9) || chr(10) || chr(13)), 1) IN ('{', '[', '"')
+        THEN [ltrim(j->>'$', chr(65279))::JSON] ELSE [] END
+      ELSE [] END) AS v) e),
+found_cases AS (SELECT row_number() OVER () AS case_no, record_id, j FROM walk WHERE json_type(j) = 'OBJECT' AND list_contains(json_keys(j), 'case_id')),
+parts AS (SELECT case_no, record_id, p.child_table, p.inner_table, p.inner_name, p.name_field, j->p.part AS held
+  FROM found_cases, (VALUES ('physical_parameters', 'quantity', 'reading', 'readings', 'name'), ('input_views', 'view', 'crop', 'crops', 'view'), ('assets', 'asset', 'rendition', 'renditions', 'role')) p(part, child_table, inner_table, inner_name, name_field)),
+entries AS (
+  SELECT * EXCLUDE (held, k), k AS item_path, held->('$."' || k || '"') AS entry FROM (SELECT *, unnest(json_keys(held)) AS k FROM parts WHERE json_type(held) = 'OBJECT')
+  UNION ALL
+  SELECT * EXCLUDE (held, e, i, entry_names), coalesce(list_filter(entry_names, lambda x: x IS NOT NULL)[1], (i - 1)::VARCHAR), e FROM (
+    SELECT *, list_transform([name_field, 'name', 'view', 'role'], lambda f: CASE WHEN json_type(e, '$.' || f) = 'VARCHAR' THEN e->>('$.' || f) END) AS entry_names
+    FROM (SELECT *, unnest(json_extract(held, '$[*]')) AS e, generate_subscripts(json_extract(held, '$[*]'), 1) AS i FROM parts WHERE json_type(held) = 'ARRAY'))),
+given AS (SELECT * FROM entries WHERE json_type(entry) <> 'NULL'),
+inner_lists AS (SELECT record_id, inner_table AS child_table, item_path AS parent_path, entry->inner_name AS held FROM given WHERE json_type(entry, '$.' || inner_name) = 'ARRAY'),
+step_lists AS (SELECT case_no, record_id, j->'$.provenance.generator.steps' AS held FROM found_cases WHERE json_type(j, '$.provenance.generator.steps') = 'ARRAY'),
+steps AS (SELECT record_id, (i - 1)::VARCHAR AS item_path, e AS entry FROM (
+  SELECT record_id, unnest(json_extract(held, '$[*]')) AS e, generate_subscripts(json_extract(held, '$[*]'), 1) AS i FROM step_lists) WHERE json_type(e) <> 'NULL'),
+lists AS (SELECT * FROM inner_lists UNION ALL SELECT record_id, 'step_input', item_path, entry->'inputs' FROM steps WHERE json_type(entry, '$.inputs') = 'ARRAY'),
+items AS (SELECT record_id, child_table, parent_path || '/' || (i - 1) AS item_path, parent_path, e AS entry FROM (
+  SELECT record_id, child_table, parent_path, unnest(json_extract(held, '$[*]')) AS e, generate_subscripts(json_extract(held, '$[*]'), 1) AS i FROM lists) WHERE json_type(e) <> 'NULL'),
+children AS (
+  SELECT record_id, child_table, item_path, entry, '' AS parent_path FROM given
+  UNION ALL SELECT record_id, 'step', item_path, entry, '' FROM steps
+  UNION ALL SELECT record_id, child_table, item_path, entry, parent_path FROM items)
+"""
+
 SQL: dict[str, str] = {
-    "p1_found": f"WITH {_MEMBERS} SELECT DISTINCT least(train_id, eval_id) AS case_a, greatest(train_id, eval_id) AS case_b FROM why",
-    "p1_counts": f"""WITH {_MEMBERS},
-      pairs AS (SELECT train_id, eval_id, max((why = 'same_id')::BIGINT) AS same_id, max((why = 'similar_text')::BIGINT) AS similar_text, max((why = 'parent')::BIGINT) AS parent FROM why GROUP BY ALL),
-      kinds AS (SELECT case_id, arg_max(provenance.source_kind, received_at) AS source_kind FROM cases GROUP BY case_id)
-      SELECT m.split, coalesce(k.source_kind, '') AS source_kind, count(*) AS pairs, count(DISTINCT p.eval_id) AS eval_cases,
-        sum(same_id)::BIGINT AS same_id, sum(similar_text)::BIGINT AS similar_text, sum(parent)::BIGINT AS parent
-      FROM pairs p JOIN members m ON m.case_id = p.eval_id AND m.split <> 'train' LEFT JOIN kinds k ON k.case_id = p.eval_id GROUP BY ALL""",
+    "p2_found": f"WITH RECURSIVE {_RECORDS} SELECT record_id, child_table, item_path FROM children",
+    "p2_tables": f"""WITH RECURSIVE {_RECORDS}
+      SELECT 'case' AS tag, count(*) AS n_rows, count(DISTINCT record_id) AS n_records FROM found_cases HAVING count(*) > 0
+      UNION ALL SELECT child_table, count(*), count(DISTINCT record_id) FROM children GROUP BY child_table""",
+    "p2_cases": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, j->>'schema_version' AS schema_version, j->>'case_id' AS case_id, j->>'scene_id' AS scene_id,
+      j->>'$.ood.level' AS ood_level, (j->'$.ood.factors')::VARCHAR[] AS ood_factors FROM found_cases""",
+    "p2_quantities": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'case' AS parent_tag, parent_path,
+      CASE WHEN json_type(entry) = 'OBJECT' THEN entry->>'value' ELSE entry->>'$' END AS value, entry->>'unit' AS unit,
+      CASE WHEN json_type(entry, '$.annotated') = 'BOOLEAN' THEN (entry->>'annotated')::BOOLEAN END AS annotated FROM children WHERE child_table = 'quantity'""",
+    "p2_readings": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'quantity' AS parent_tag, parent_path,
+      try_cast(CASE WHEN json_type(entry) = 'OBJECT' THEN entry->>'value' ELSE entry->>'$' END AS DOUBLE) AS value, entry->>'by' AS by FROM children WHERE child_table = 'reading'""",
+    "p2_views": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'case' AS parent_tag, parent_path,
+      CASE WHEN json_type(entry) = 'OBJECT' THEN entry->>'prompt' ELSE entry->>'$' END AS prompt, entry->>'first_frame' AS first_frame FROM children WHERE child_table = 'view'""",
+    "p2_crops": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'view' AS parent_tag, parent_path, (entry->'box')::INTEGER[] AS box, (entry->>'frame')::INTEGER AS frame FROM children WHERE child_table = 'crop'""",
+    "p2_assets": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'case' AS parent_tag, parent_path,
+      CASE WHEN json_type(entry) = 'OBJECT' THEN entry->>'path' ELSE entry->>'$' END AS path FROM children WHERE child_table = 'asset'""",
+    "p2_renditions": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'asset' AS parent_tag, parent_path, (entry->>'height')::INTEGER AS height, entry->>'path' AS path,
+      CASE WHEN json_type(entry, '$.audio') = 'OBJECT' THEN struct_pack(channels := (entry->>'$.audio.channels')::INTEGER) END AS audio FROM children WHERE child_table = 'rendition'""",
+    "p2_steps": f"""WITH RECURSIVE {_RECORDS} SELECT s.record_id, s.item_path, CASE WHEN json_type(s.entry) = 'OBJECT' THEN s.entry->>'op' ELSE s.entry->>'$' END AS op, a.arg,
+      (s.entry->>('$.args."' || a.arg || '"'))::DOUBLE AS arg_value
+      FROM (SELECT * FROM children WHERE child_table = 'step') s LEFT JOIN LATERAL (SELECT unnest(json_keys(s.entry, '$.args')) AS arg) a ON true""",
+    "p2_step_inputs": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, parent_path, CASE WHEN json_type(entry) = 'OBJECT' THEN (entry->>'frame')::INTEGER ELSE (entry->>'$')::INTEGER END AS frame,
+      (entry->'$.mask.rle')::INTEGER[] AS mask_rle FROM children WHERE child_table = 'step_input'""",
     "p3_found": f"""WITH {_SNAPSHOTS},
       later AS (SELECT r.dataset_id, r.release_no, p.case_id, p.place FROM releases r JOIN places p ON p.dataset_id = r.dataset_id AND p.release_no = r.release_no WHERE r.prev_no IS NOT NULL),
       earlier AS (SELECT r.dataset_id, r.release_no, p.case_id, p.place FROM releases r JOIN places p ON p.dataset_id = r.dataset_id AND p.release_no = r.prev_no)
