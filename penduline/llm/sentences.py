@@ -13,10 +13,11 @@ _MARK = re.compile(r"^\s*(?:>\s*)+|^\s*(?:[-*+•‣–]|\(?\d{1,3}[.)])\s+")
 _HEADING = re.compile(r"^\s*#{1,6}\s")
 _END = re.compile(r"[.!?。！？…]['\"”’»)\]]*\s*$")
 _CUT = re.compile(r"(?<=[.!?…])['\"”’»)\]]*\s+|(?<=[。！？])|(?<=[!?])(?=[㐀-鿿])|(?<=[㐀-鿿][!?])(?=\S)")
+_ASCII_CUT = re.compile(r"[.!?]['\")\]]*\s+")
 _CODE = re.compile(r"(?<![^\W_㐀-鿿])(?=[a-z]*\d)(?=\d*[a-z])[a-z\d]+(?![^\W_㐀-鿿])|([a-z])\1{5,}")
 _CODED = re.compile(r"[a-z]\d|\d[a-z]|([a-z])\1{5}")
-_WORD = re.compile(r"[^\W\d_㐀-鿿]+(?:_[^\W㐀-鿿]+)*|[㐀-鿿]+|\n")
-_ASCII_WORD = re.compile(r"[a-z]+(?:_[a-z0-9_]+)*|\n")
+_WORD = re.compile(r"[^\W\d_㐀-鿿]+(?:_[^\W㐀-鿿]+)*|[㐀-鿿]+")
+_ASCII_WORD = re.compile(r"[a-z]+(?:_[a-z0-9_]+)*")
 # characters that only steer the layout
 _FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in (*range(0x20000), *range(0xE0000, 0xE1000)) if unicodedata.category(chr(c)) == "Cf") + "]")
 
@@ -73,7 +74,17 @@ def sentences(text: str | None) -> list[str]:
                 items[-1] += glue + bare.strip()
             fresh = row
         for item in items:
-            out += [s for s in _CUT.split(item) if s and any(c.isalnum() for c in s)]
+            out += [s for s in (_cut(item) if item.isascii() else _CUT.split(item)) if s and any(c.isalnum() for c in s)]
+    return out
+
+
+def _cut(item: str) -> list[str]:
+    """_CUT for text of ASCII characters only, where it is the same."""
+    out, at = [], 0
+    for m in _ASCII_CUT.finditer(item):
+        out.append(item[at : m.start() + 1])
+        at = m.end()
+    out.append(item[at:])
     return out
 
 
@@ -83,18 +94,19 @@ def sentence_words(sentences: list[str]) -> list[list[str]]:
     text = "\n".join([s.replace("\n", " ") if "\n" in s else s for s in sentences]).casefold()
     if _CODED.search(text):
         text = _CODE.sub(" ", text)
-    now: list[str] = []
-    out = [now]
-    for w in (_ASCII_WORD if text.isascii() else _WORD).findall(text):
-        if w == "\n":
-            now = []
-            out.append(now)
-        elif len(w) > 1:
-            if "㐀" <= w[0] <= "鿿":
-                now += [w[k : k + 2] for k in range(len(w) - 1)]
-            else:
-                now.append(w)
-    return out if sentences else []
+    if text.isascii():
+        return [[w for w in _ASCII_WORD.findall(s) if len(w) > 1] for s in text.split("\n")] if sentences else []
+    out = []
+    for s in text.split("\n") if sentences else ():
+        now: list[str] = []
+        for w in _WORD.findall(s):
+            if len(w) > 1:
+                if "㐀" <= w[0] <= "鿿":
+                    now += [w[k : k + 2] for k in range(len(w) - 1)]
+                else:
+                    now.append(w)
+        out.append(now)
+    return out
 
 
 def words(sentence: str) -> list[str]:

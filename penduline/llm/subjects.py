@@ -30,7 +30,7 @@ from penduline.session import broadcast_if_small, materialize, spread
 #: Numbers for words. The driver holds some matrices of topics x BUCKETS, whatever the size of the corpus.
 BUCKETS = 1 << 18
 #: Rounds of the fit over all documents, and of inference within a document.
-ROUNDS, INNER = 4, 6
+ROUNDS, INNER = 3, 4
 #: Dirichlet priors of a topic and of none in a document, the labels' weight, and by how many words in the whole corpus a
 #: word's rate in a topic is drawn towards its rate outside.
 ALPHA, ALPHA_NONE, PRIOR, SHRINK = 0.1, 0.5, 0.3, 5.0
@@ -52,7 +52,7 @@ def split_documents(documents: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        number = _Numbers().__getitem__
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 512):
                 part = batch.slice(at, 512)
@@ -61,13 +61,7 @@ def split_documents(documents: DataFrame) -> DataFrame:
                     flat: list[int] = []
                     stops = []
                     for found in sentence_words(sentences(text)):
-                        for w in found:
-                            k = known.get(w)
-                            if k is None:
-                                k = bucket(w)
-                                if len(known) < 1_000_000:
-                                    known[w] = k
-                            flat.append(k)
+                        flat += map(number, found)
                         stops.append(len(flat))
                     every.append(flat)
                     ends.append(stops)
@@ -82,6 +76,16 @@ def bucket(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) % BUCKETS
 
 
+class _Numbers(dict):
+    """Words to their numbers; a million of them are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        k = bucket(word)
+        if len(self) < 1_000_000:
+            self[word] = k
+        return k
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     """For x > 0: six steps of the recurrence, then the asymptotic series."""
     shift = np.zeros_like(x)
