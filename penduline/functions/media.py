@@ -59,6 +59,7 @@ def speed_factor(value: Column) -> Column:
     return F.when(v > 0, v)
 
 
-def scale_filter(width: int, height: int) -> str:
+def scale_filter(width: int, height: int, pad_colour: str = "black") -> str:
     """The text of a scale-and-pad filter."""
-    return f"scale={width}:{height}:force_original_aspect_ratio=decrease,pad={width}:{height}:(ow-iw)/2:(oh-ih)/2"
+    # Fixed value: the filter text of the media tool.
+    return f"scale={width}:{height}:force_original_aspect_ratio=decrease,pad={width}:{height}:(ow-iw)/2:(oh-ih)/2:color={pad_colour},setsar=1"

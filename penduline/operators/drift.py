@@ -121,12 +121,21 @@ def changes(lines: DataFrame) -> DataFrame:
         .join(files, _LINE)
     )
     said = materialize(facing(said, "site", "path", "says").join(moved, [*pair, "path", "is_new"]))
-    old = said.where("NOT is_new").select(*pair, "site", F.col("path").alias("old_path"), F.col("says").alias("old_says"))
-    new = said.where("is_new").select(*pair, "site", F.col("path").alias("new_path"), F.col("says").alias("new_says"))
-    candidates = old.join(new.withColumnRenamed("new_says", "old_says"), [*pair, "site", "old_says"]).select(*pair, "old_path", "new_path").distinct()
-    renamed = materialize(
-        candidates.join(old, [*pair, "old_path"]).join(new, [*pair, "site", "new_path"])
-        .groupBy(*pair, "old_path", "new_path").agg(F.bool_and(F.col("old_says") == F.col("new_says")).alias("equal")).where("equal").drop("equal"))
+    # paths that say the same at the same sites are one class, so that k fields that vanish and m that come, all of one value,
+    # are a pair of classes and not k x m pairs at every site
+    classes = materialize(said.groupBy(*pair, "is_new", "path").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("site", "says")).alias("a"), F.bit_xor(F.xxhash64("says", F.lit("2"), "site")).alias("b")).select(
+        *pair, "is_new", "path", F.xxhash64("n", "a").alias("class_a"), F.col("b").alias("class_b")))
+    first = classes.groupBy(*pair, "is_new", "class_a", "class_b").agg(F.min("path").alias("path"))
+    spoken = materialize(said.join(first, [*pair, "is_new", "path"]))
+    names = ["class_a", "class_b"]
+    old = spoken.where("NOT is_new").select(*pair, "site", F.struct(*names).alias("old"), F.col("says").alias("old_says"))
+    new = spoken.where("is_new").select(*pair, "site", F.struct(*names).alias("new"), F.col("says").alias("new_says"))
+    candidates = old.join(new.withColumnRenamed("new_says", "old_says"), [*pair, "site", "old_says"]).select(*pair, "old", "new").distinct()
+    alike = candidates.join(old, [*pair, "old"]).join(new, [*pair, "site", "new"]).groupBy(*pair, "old", "new").agg(
+        F.bool_and(F.col("old_says") == F.col("new_says")).alias("equal")).where("equal").drop("equal")
+    of = {m: classes.where(w).select(*pair, F.struct(*names).alias(m), F.col("path").alias(f"{m}_path")) for m, w in (("old", "NOT is_new"), ("new", "is_new"))}
+    renamed = materialize(alike.join(of["old"], [*pair, "old"]).join(of["new"], [*pair, "new"]).select(*pair, "old_path", "new_path"))
     none = F.lit("")
     out = [
         renamed.select(*pair, F.lit("renamed").alias("change"), "old_path", "new_path"),

@@ -137,11 +137,18 @@ def components(masks: DataFrame, mask: str, height: int, width: int, *keys: str,
     return masks.select(*keys, mask).mapInPandas(run, f"{kinds}, component int, area bigint, x double, y double")
 
 
-def _shifted(picture: np.ndarray, size: int, fill: int) -> list[np.ndarray]:
+def ellipse(size: int) -> np.ndarray:
+    """The pixels of an ellipse inscribed in a square of odd size: a cross for 3."""
     r = size // 2
-    padded = np.pad(picture, r, constant_values=fill)
+    dy = np.arange(-r, r + 1)
+    reach = np.rint(r * np.sqrt(1 - (dy / max(r, 1)) ** 2)).astype(int)
+    return np.abs(np.arange(-r, r + 1))[None, :] <= reach[:, None]
+
+
+def _shifted(picture: np.ndarray, size: int, fill: int) -> list[np.ndarray]:
+    padded = np.pad(picture, size // 2, constant_values=fill)
     h, w = picture.shape
-    return [padded[dy : dy + h, dx : dx + w] for dy in range(size) for dx in range(size)]
+    return [padded[dy : dy + h, dx : dx + w] for dy, dx in zip(*np.nonzero(ellipse(size)), strict=True)]
 
 
 def erode(picture: np.ndarray, size: int) -> np.ndarray:
@@ -176,11 +183,12 @@ def median_background(stack: np.ndarray) -> np.ndarray:
 
 
 def motion_masks(stack: np.ndarray, threshold: float, close: int = 5, least_area: int = 20) -> np.ndarray:
-    """What differs from the background in each frame: blurred, cut, opened, closed, without small components."""
+    """What differs from the background in each frame: blurred, cut, opened, closed (by an odd size of 3 at least), without
+    small components."""
     ground = blur5(median_background(stack))
     out = np.zeros(stack.shape, bool)
     for k, frame in enumerate(stack):
-        moved = closed(opened(np.abs(blur5(frame) - ground) >= threshold, 3), close)
+        moved = closed(opened(np.abs(blur5(frame) - ground) >= threshold, 3), max(3, int(close) | 1))
         labels, n = label_components(moved)
         large = np.bincount(labels.ravel(), minlength=n + 1) >= least_area
         large[0] = False
@@ -188,30 +196,58 @@ def motion_masks(stack: np.ndarray, threshold: float, close: int = 5, least_area
     return out
 
 
-def best_proposal(masks: np.ndarray) -> tuple[int, int, float] | None:
-    """(frame, label, score) of the component that doesn't touch the border with the most area x (0.5 + compactness);
-    of equals the first frame and label. None if there is none."""
+def component_boxes(mask: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(label, area, x, y, width, height) of each component."""
+    labels, n = label_components(mask)
+    ys, xs = np.nonzero(labels)
+    which = labels[ys, xs]
+    out = []
+    for k in range(1, n + 1):
+        y, x = ys[which == k], xs[which == k]
+        out.append((k, len(y), int(x.min()), int(y.min()), int(np.ptp(x)) + 1, int(np.ptp(y)) + 1))
+    return out
+
+
+def clear_of_border(x: int, y: int, w: int, h: int, width: int, height: int, margin_x: int, margin_y: int) -> bool:
+    """Whether a box keeps more than a margin from each side of the picture."""
+    return x > margin_x and y > margin_y and x + w < width - margin_x and y + h < height - margin_y
+
+
+def best_proposal(masks: np.ndarray, least_area: int = 1, border: float = 0.01) -> tuple[int, int, float] | None:
+    """(frame, label, score) of the component of at least least_area that keeps off the border (by that share of each side, a
+    pixel at least) with the most area x (0.5 + compactness); of equals the first frame and label. None if there is none."""
     best = None
+    height, width = masks.shape[1:]
+    margins = max(1, round(width * border)), max(1, round(height * border))
     for k, mask in enumerate(masks):
-        labels, n = label_components(mask)
-        for label in range(1, n + 1):
-            ys, xs = np.nonzero(labels == label)
-            if ys.min() == 0 or xs.min() == 0 or ys.max() == mask.shape[0] - 1 or xs.max() == mask.shape[1] - 1:
-                continue
-            box = (np.ptp(ys) + 1) * (np.ptp(xs) + 1)
-            score = len(ys) * (0.5 + len(ys) / box)
-            if best is None or score > best[2]:
-                best = (k, label, float(score))
+        for label, area, x, y, w, h in component_boxes(mask):
+            if area >= least_area and clear_of_border(x, y, w, h, width, height, *margins):
+                score = area * (0.5 + area / (w * h))
+                if best is None or score > best[2]:
+                    best = (k, label, float(score))
     return best
 
 
-def expanded_box(x0: float, y0: float, x1: float, y1: float, expand: float, least: float, width: int, height: int) -> tuple[float, float, float, float]:
-    """A box about the same centre, grown and no smaller than least, within the picture."""
-    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
-    rx, ry = max(least, (x1 - x0) * expand) / 2, max(least, (y1 - y0) * expand) / 2
+def expanded_box(x: int, y: int, w: int, h: int, expand: float, least: float, width: int, height: int, of_pixels: bool = False) -> tuple[float, float, float, float]:
+    """(x0, y0, x1, y1) about the centre of a box of w x h pixels, grown and no smaller than least, within the picture. The
+    centre is that of the box's edges, or with of_pixels that of its outermost pixels, half a pixel before."""
+    cx, cy = x + (w - of_pixels) / 2, y + (h - of_pixels) / 2
+    rx, ry = max(least, w * expand) / 2, max(least, h * expand) / 2
     return max(0.0, cx - rx), max(0.0, cy - ry), min(width - 1.0, cx + rx), min(height - 1.0, cy + ry)
 
 
+def motion_prompt(stack: np.ndarray, threshold: float, least_area: int, expand: float, least_side: float) -> tuple[int, tuple[float, float, float, float], tuple[float, float]]:
+    """(frame, box, point) of the best moving component; ValueError motion_prompt_failed if there is none."""
+    moved = motion_masks(stack, threshold, least_area=least_area)
+    best = best_proposal(moved, least_area)
+    if best is None:
+        raise ValueError("motion_prompt_failed")
+    k, label, _ = best
+    _, _, x, y, w, h = component_boxes(moved[k])[label - 1]
+    ys, xs = np.nonzero(label_components(moved[k])[0] == label)
+    return k, expanded_box(x, y, w, h, expand, least_side, stack.shape[2], stack.shape[1]), (float(xs.mean()), float(ys.mean()))
+
+
 def rectified(picture: np.ndarray, origin: tuple[float, float], direction: tuple[float, float], length: float, size: tuple[int, int] = (160, 512), share: float = 0.8) -> np.ndarray:
     """A strip along an axis: share of its width shows `length`, nearest pixels, black beyond the picture."""
     height, width = size

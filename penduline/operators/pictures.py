@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from typing import NamedTuple
+
 import numpy as np
 
-from penduline.operators.masks import closed, component_table, erode, expanded_box, label_components, opened
+from penduline.operators.masks import blur5, clear_of_border, closed, component_boxes, component_table, erode, expanded_box, label_components, median_background, opened
 
 
 def hsv(rgb: np.ndarray) -> np.ndarray:
@@ -43,46 +46,118 @@ def disk_objects(rgb: np.ndarray, low: tuple[float, float, float], high: tuple[f
     return opened(erode(disk.astype(np.uint8), edge).astype(bool) & ~colour, 3).astype(bool)
 
 
-def track_candidates(rgb: np.ndarray, band: tuple[int, int], least_value: float, most_saturation: float, least_area: int, widest: float = 1.6) -> list[tuple[float, float, float, float]]:
-    """(x0, y0, x1, y1) of bright, pale blobs between two rows of a picture; a blob much wider than high is cut in equal
-    parts, as balls that touch look like one."""
+class Blob(NamedTuple):
+    x: float
+    y: float
+    area: int
+    mask: np.ndarray
+
+
+# Limits of the protocol for balls on a rail.
+RAIL = {
+    "least_saturation": 45, "least_value": 35, "top": 0.78, "bottom": 0.9, "least_area": 6, "most_area": 500, "most_candidates": 32,
+    "split_area": 100, "split_aspect": 1.45, "least_separation": 7.0, "most_separation": 36.0, "most_y_difference": 9.0,
+    "most_striker_y_difference": 14.0, "area_reward": 0.05, "expand": 1.5, "least_side": 18,
+}
+
+
+def _blob(mask: np.ndarray) -> Blob:
+    ys, xs = np.nonzero(mask)
+    return Blob(float(xs.mean()), float(ys.mean()), len(ys), mask)
+
+
+def track_candidates(rgb: np.ndarray, config: dict[str, float]) -> list[Blob]:
+    """Colourful, bright blobs in the band of a rail, largest first, neither too small nor too large. A large blob much wider
+    than high is two balls that touch: it is halved if both halves are large enough. ValueError for fewer than three."""
     picture = hsv(rgb)
-    gate = (picture[..., 1] <= most_saturation) & (picture[..., 2] >= least_value)
-    gate[: band[0]] = gate[band[1] :] = False
-    labels, n = label_components(opened(gate.astype(np.uint8), 3).astype(bool))
-    out = []
-    for k in range(1, n + 1):
-        ys, xs = np.nonzero(labels == k)
-        if len(ys) < least_area:
-            continue
-        width, height = np.ptp(xs) + 1, np.ptp(ys) + 1
-        parts = max(1, round(width / height)) if width > widest * height else 1
-        out += [(xs.min() + i * width / parts, float(ys.min()), xs.min() + (i + 1) * width / parts - 1, float(ys.max())) for i in range(parts)]
-    if not out:
+    gate = (np.rint(picture[..., 1]) >= config["least_saturation"]) & (picture[..., 2] >= config["least_value"])
+    gate[: round(len(rgb) * config["top"])] = gate[round(len(rgb) * config["bottom"]) :] = False
+    labels, _ = label_components(opened(gate.astype(np.uint8), 3).astype(bool))
+    rows = component_table(labels > 0, config["least_area"], int(config["most_candidates"]))
+    out: list[Blob] = []
+    for blob in (_blob(labels == r[3]) for r in rows if r[0] <= config["most_area"]):
+        ys, xs = np.nonzero(blob.mask)
+        parts = [blob.mask]
+        if blob.area >= config["split_area"] and (np.ptp(xs) + 1) / (np.ptp(ys) + 1) >= config["split_aspect"]:
+            left = blob.mask & (np.arange(rgb.shape[1]) <= (xs.min() + xs.max()) // 2)
+            halves = [left, blob.mask & ~left]
+            if min(h.sum() for h in halves) >= config["least_area"]:
+                parts = halves
+        out += map(_blob, parts)
+    if len(out) < 3:
         raise ValueError("collision_frame_zero_objects_missing")
-    return sorted(out)
+    return out
+
+
+def rail_roles(blobs: list[Blob], config: dict[str, float]) -> list[Blob]:
+    """[striker, left target, right target]: the targets are the closest pair side by side, large ones preferred; the striker is
+    the leftmost blob before them on their height."""
+    pairs = [
+        (apart - config["area_reward"] * (a.area + b.area), i, j)
+        for (i, a), (j, b) in itertools.combinations(enumerate(blobs), 2)
+        if config["least_separation"] <= (apart := abs(a.x - b.x)) <= config["most_separation"] and abs(a.y - b.y) <= config["most_y_difference"]]
+    if not pairs:
+        raise ValueError("collision_target_pair_missing")
+    chosen = min(pairs)[1:]
+    left, right = sorted((blobs[k] for k in chosen), key=lambda t: t.x)
+    height = (left.y + right.y) / 2
+    before = [t for k, t in enumerate(blobs) if k not in chosen and t.x < left.x - config["least_separation"] and abs(t.y - height) <= config["most_striker_y_difference"]]
+    if not before:
+        raise ValueError("collision_striker_missing")
+    return [min(before, key=lambda t: t.x), left, right]
+
+
+def rail_prompts(rgb: np.ndarray, config: dict[str, float] = RAIL) -> list[tuple[tuple[float, float, float, float], tuple[float, float]]]:
+    """(box, point) of striker and targets in the first picture."""
+    out = []
+    for t in rail_roles(track_candidates(rgb, config), config):
+        out.append((expanded_box(*_extent(t.mask), config["expand"], config["least_side"], rgb.shape[1], rgb.shape[0], of_pixels=True), (t.x, t.y)))
+    return out
+
+
+def _extent(mask: np.ndarray) -> tuple[int, int, int, int]:
+    ys, xs = np.nonzero(mask)
+    return int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1
+
+
+def points_along(mask: np.ndarray, count: int = 6) -> list[tuple[float, float]]:
+    """Medians of narrow bands of rows from the top to the bottom of a component."""
+    ys, xs = np.nonzero(mask)
+    low, reach = ys.min(), np.ptp(ys)
+    band = max(3, round((reach + 1) * 0.012))
+    bands = (np.abs(ys - round(low + f * reach)) <= band for f in np.linspace(0.08, 0.94, count))
+    return [(float(np.median(xs[b])), float(np.median(ys[b]))) for b in bands if b.any()] or [(float(np.median(xs)), float(np.median(ys)))]
 
 
-def bright_motion_prompt(stack: np.ndarray, threshold: float, least_area: int, lowest: float = 0.1) -> tuple[int, tuple[float, float, float, float], tuple[float, float]]:
-    """(frame, box, point) of the best blob that is brighter than the background and lies below the top part of the picture:
-    the largest, tall and compact ones first."""
-    ground = np.median(stack, axis=0)
+def bright_motion_prompt(
+    stack: np.ndarray, threshold: float, least_area: int, expand: float = 1.08, least_side: float = 24.0,
+) -> tuple[int, tuple[float, float, float, float], list[tuple[float, float, bool]]]:
+    """(frame, box, points) of a rope and bob brighter than the background: of the components that are high enough and keep off
+    the border the one of most area x (1 + 3 height) x (1 + 2 width), sides as shares of the picture's. points: (x, y, whether
+    it belongs to the object); a last one that doesn't is put below the pivot, where a pole may stand, unless the object is there."""
+    ground = blur5(median_background(stack))
     height, width = stack.shape[1:]
+    margins = max(2, int(width * 0.015)), max(2, int(height * 0.015))
     best = None
     for k, frame in enumerate(stack):
-        mask = closed(opened((frame - ground >= threshold).astype(np.uint8), 3), 5).astype(bool)
-        labels, n = label_components(mask)
-        for label in range(1, n + 1):
-            ys, xs = np.nonzero(labels == label)
-            if len(ys) < least_area or ys.max() < lowest * height:
+        mask = opened((blur5(frame) - ground >= threshold).astype(np.uint8), 3).astype(bool)
+        for label, area, x, y, w, h in component_boxes(mask):
+            if area < least_area or h < max(least_side, int(height * 0.08)) or not clear_of_border(x, y, w, h, width, height, *margins):
                 continue
-            h, w = np.ptp(ys) + 1, np.ptp(xs) + 1
-            score = len(ys) * (0.5 + len(ys) / (h * w)) * (1 + h / height) / (1 + w / width)
+            score = area * (1 + 3 * h / height) * (1 + 2 * w / width)
             if best is None or score > best[0]:
-                best = (score, k, expanded_box(xs.min(), ys.min(), xs.max(), ys.max(), 1.08, 24, width, height), (float(xs.mean()), float(ys.mean())))
+                best = (score, k, label_components(mask)[0] == label, (x, y, w, h))
     if best is None:
         raise ValueError("motion_prompt_failed")
-    return best[1:]
+    _, k, mask, (x, y, w, h) = best
+    points = points_along(mask)
+    ys, xs = np.nonzero(mask)
+    pivot, pole = float(np.median(xs[ys <= np.quantile(ys, 0.08)])), y + 0.58 * h
+    nearest = min(points, key=lambda p: abs(p[1] - pole))
+    marks = [(*p, True) for p in points]
+    if abs(nearest[0] - pivot) >= max(12.0, width * 0.015):
+        marks.append((pivot, pole, False))
+    return k, expanded_box(x, y, w, h, expand, least_side, width, height), marks
 
 
 def gray_small(rgb: np.ndarray, width: int = 320) -> np.ndarray:

@@ -114,6 +114,9 @@ def _decoder(third: int):  # noqa: ANN202
 
 def differences(releases: DataFrame, elements: DataFrame, thirds: tuple[int, ...] = THIRDS, bucket_elements: int = BUCKET_ELEMENTS) -> DataFrame:
     """(dataset_id, release_no, case_id, place, sign): elements only in a release (1) or only in the one before (-1)."""
+    spark = elements.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    elements = materialize(elements)
     largest = elements.groupBy("dataset_id", "release_no").count().groupBy("dataset_id").agg(
         F.greatest(F.lit(1), F.ceil(F.max("count") / F.lit(bucket_elements))).cast("bigint").alias("buckets"))
     hashed = materialize(
@@ -123,7 +126,8 @@ def differences(releases: DataFrame, elements: DataFrame, thirds: tuple[int, ...
     )
     left, recovered = hashed, []
     for third in thirds:
-        decoded = materialize(subtract(left, third).groupBy(*_BUCKET).applyInPandas(_decoder(third), _SCHEMA))
+        # tables are small, but peeling takes Python: the partitions are told, or adaptive execution would merge them
+        decoded = materialize(subtract(left, third).repartition(tasks, *_BUCKET).groupBy(*_BUCKET).applyInPandas(_decoder(third), _SCHEMA))
         recovered.append(decoded.where("sign <> 0"))
         failed = decoded.where("sign = 0").select(*_BUCKET)
         if failed.isEmpty():

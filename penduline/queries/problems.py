@@ -38,7 +38,7 @@ def p2_assets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_renditions(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(spark, d, "rendition")
+    return _flat(spark, d, "rendition").select("record_id", "item_path", "parent_path", "height", "path", F.col("audio.channels").alias("audio_channels"))
 
 
 def p2_steps(spark: SparkSession, d: str) -> DataFrame:

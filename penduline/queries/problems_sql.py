@@ -107,8 +107,8 @@ SQL: dict[str, str] = {
     "p2_crops": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'view' AS parent_tag, parent_path, (entry->'box')::INTEGER[] AS box, (entry->>'frame')::INTEGER AS frame FROM children WHERE child_table = 'crop'""",
     "p2_assets": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'case' AS parent_tag, parent_path,
       CASE WHEN json_type(entry) = 'OBJECT' THEN entry->>'path' ELSE entry->>'$' END AS path FROM children WHERE child_table = 'asset'""",
-    "p2_renditions": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, 'asset' AS parent_tag, parent_path, (entry->>'height')::INTEGER AS height, entry->>'path' AS path,
-      CASE WHEN json_type(entry, '$.audio') = 'OBJECT' THEN struct_pack(channels := (entry->>'$.audio.channels')::INTEGER) END AS audio FROM children WHERE child_table = 'rendition'""",
+    "p2_renditions": f"""WITH RECURSIVE {_RECORDS} SELECT record_id, item_path, parent_path, (entry->>'height')::INTEGER AS height, entry->>'path' AS path,
+      (entry->>'$.audio.channels')::INTEGER AS audio_channels FROM children WHERE child_table = 'rendition'""",
     "p2_steps": f"""WITH RECURSIVE {_RECORDS} SELECT s.record_id, s.item_path, CASE WHEN json_type(s.entry) = 'OBJECT' THEN s.entry->>'op' ELSE s.entry->>'$' END AS op, a.arg,
       (s.entry->>('$.args."' || a.arg || '"'))::DOUBLE AS arg_value
       FROM (SELECT * FROM children WHERE child_table = 'step') s LEFT JOIN LATERAL (SELECT unnest(json_keys(s.entry, '$.args')) AS arg) a ON true""",

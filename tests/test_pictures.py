@@ -2,7 +2,7 @@ import colorsys
 
 import numpy as np
 import pytest
-from penduline.operators import pictures
+from penduline.operators import masks, pictures
 
 
 def test_hsv_agrees_with_the_standard_library():
@@ -30,27 +30,73 @@ def test_objects_on_a_disk():
         pictures.disk_objects(np.zeros((20, 20, 3), np.uint8), (35, 80, 60), (85, 255, 255))
 
 
-def test_touching_balls_are_cut():
-    rgb = np.zeros((60, 120, 3), np.uint8)
-    rgb[25:35, 10:20] = 230
-    rgb[25:35, 60:80] = 230
-    rgb[2:8, 30:40] = 230  # outside the band
-    boxes = pictures.track_candidates(rgb, (15, 50), 150, 60, 20)
-    assert [round((b[0] + b[2]) / 2) for b in boxes] in ([14, 64, 74], [15, 65, 75], [14, 64, 75], [14, 65, 74])
+def _rail():
+    rgb = np.zeros((100, 200, 3), np.uint8)
+    for x, w in ((20, 9), (120, 20), (60, 3)):
+        rgb[82:91, x : x + w] = (230, 60, 40)
+    rgb[10:19, 30:39] = (230, 60, 40)  # above the band
+    rgb[82:91, 170:179] = 240  # pale
+    return rgb
+
+
+def test_balls_on_a_rail():
+    config = pictures.RAIL | {"least_area": 6}
+    blobs = pictures.track_candidates(_rail(), config)
+    assert sorted((round(b.x), b.area) for b in blobs) == [(24, 68), (61, 20), (125, 78), (134, 78)]
+    striker, left, right = pictures.rail_roles(blobs, config)
+    assert (round(striker.x), round(left.x), round(right.x)) == (24, 125, 134)
+    (box, point), *_ = pictures.rail_prompts(_rail())
+    assert box == (24 - 9, 85.5 - 9, 24 + 9, 85.5 + 9) and point == pytest.approx((24, 85.5))
+    one = _rail()
+    one[:, 100:] = 0
     with pytest.raises(ValueError, match="objects_missing"):
-        pictures.track_candidates(rgb[:10], (0, 2), 150, 60, 20)
+        pictures.track_candidates(one, config)
+    far = [b._replace(y=b.y + 40 * k) for k, b in enumerate(blobs)]
+    with pytest.raises(ValueError, match="target_pair_missing"):
+        pictures.rail_roles(far, config)
+    with pytest.raises(ValueError, match="striker_missing"):
+        pictures.rail_roles([b for b in blobs if b.x > 100] * 2, config | {"most_separation": 11.0})
+
+
+def test_ellipses():
+    assert masks.ellipse(3).tolist() == [[False, True, False], [True, True, True], [False, True, False]]
+    assert masks.ellipse(5).sum(1).tolist() == [1, 5, 5, 5, 1]
+    dot = np.zeros((7, 7), np.uint8)
+    dot[3, 3] = 1
+    assert masks.dilate(dot, 3).sum() == 5 and masks.erode(masks.dilate(dot, 3), 3).tolist() == dot.tolist()
+
+
+def test_proposals_keep_off_the_border():
+    stack = np.zeros((2, 100, 200), bool)
+    stack[0, 40:60, 1:30] = True  # within the margin of two pixels
+    stack[1, 40:50, 40:50] = True
+    stack[1, 70:74, 40:44] = True
+    assert masks.best_proposal(stack) == (1, 1, 150.0)
+    assert masks.best_proposal(stack, least_area=101) is None
+    assert masks.expanded_box(40, 40, 10, 10, 2.0, 5, 200, 100) == (35, 35, 55, 55)
+    assert masks.expanded_box(40, 40, 10, 10, 2.0, 5, 200, 100, of_pixels=True) == (34.5, 34.5, 54.5, 54.5)
 
 
 def test_motion_and_entry():
-    stack = np.full((7, 50, 70), 60.0)
+    stack = np.full((7, 120, 170), 60.0)
+    for k in range(7):
+        stack[k, 20:78, 15 + 18 * k : 23 + 18 * k] = 200
+    frame, box, points = pictures.bright_motion_prompt(stack, 15.0, 20)
+    assert all(inside and stack[frame, round(y), round(x)] == 200 and box[0] < x < box[2] for x, y, inside in points) and len(points) == 6
+    bent = stack.copy()
     for k in range(7):
-        stack[k, 20:38, 5 + 8 * k : 13 + 8 * k] = 200
-    frame, box, point = pictures.bright_motion_prompt(stack, 15.0, 20)
-    assert stack[frame, round(point[1]), round(point[0])] == 200 and box[0] < point[0] < box[2]
+        bent[k, 50:70, 15 + 18 * k : 40 + 18 * k] = 200
+    assert [p[2] for p in pictures.bright_motion_prompt(bent, 15.0, 20)[2]].count(False) <= 1
     with pytest.raises(ValueError, match="motion_prompt_failed"):
         pictures.bright_motion_prompt(np.zeros((3, 9, 9)), 15.0, 20)
-    parts = pictures.entry_components(stack[3] + 5, np.full((50, 70), 60.0))
-    assert len(parts) == 1 and parts[0][1] == pytest.approx(32.5, abs=0.6)
+    with pytest.raises(ValueError, match="motion_prompt_failed"):
+        pictures.bright_motion_prompt(stack[:, :70], 15.0, 20)  # it touches the border
+    parts = pictures.entry_components(stack[3] + 5, np.full((120, 170), 60.0))
+    assert len(parts) == 1 and parts[0][1] == pytest.approx(72.5, abs=0.6)
+    k, box, point = masks.motion_prompt(stack, 15.0, 20, 1.1, 10)
+    assert stack[k, round(point[1]), round(point[0])] == 200 and box[0] < point[0] < box[2]
+    with pytest.raises(ValueError, match="motion_prompt_failed"):
+        masks.motion_prompt(np.zeros((3, 9, 9)), 15.0, 20, 1.1, 10)
 
 
 def test_area_means():
