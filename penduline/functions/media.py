@@ -63,3 +63,50 @@ def scale_filter(width: int, height: int, pad_colour: str = "black") -> str:
     """The text of a scale-and-pad filter."""
     # Fixed value: the filter text of the media tool.
     return f"scale={width}:{height}:force_original_aspect_ratio=decrease,pad={width}:{height}:(ow-iw)/2:(oh-ih)/2:color={pad_colour},setsar=1"
+
+
+def bucket(scene: Column, buckets: dict[str, tuple[int, int, tuple[str, ...]]]) -> Column:
+    """struct<name, width, height> of the size class of a scene; null for a scene in none. buckets: name -> (width, height,
+    scenes). A scene in two classes, or a side that is no multiple of 16, is an error."""
+    of_scene: dict[str, str] = {}
+    for name, (width, height, scenes) in sorted(buckets.items()):
+        if width % 16 or height % 16:
+            raise ValueError(f"{name}: {width}x{height} is no multiple of 16")
+        for s in scenes:
+            if s in of_scene:
+                raise ValueError(f"{s} is in several size classes")
+            of_scene[s] = name
+    out = F.lit(None).cast("struct<name: string, width: int, height: int>")
+    for name, (width, height, scenes) in sorted(buckets.items()):
+        out = F.when(scene.isin(*scenes), F.struct(F.lit(name).alias("name"), F.lit(width).alias("width"), F.lit(height).alias("height"))).otherwise(out)
+    return out
+
+
+def max_pixels(buckets: dict[str, tuple[int, int, tuple[str, ...]]]) -> int:
+    """Pixels of the largest size class."""
+    return max(width * height for width, height, _ in buckets.values())
+
+
+def media_path(path: Column, home: str, cache: str | None = None, run: str | None = None, name: Column | None = None) -> Column:
+    """Where a recording lies: absolute paths as they are, relative ones under the manifest's folder. With a name, where its
+    derivative goes: into the cache if there is one, else into the run's folder."""
+    if name is not None:
+        root = cache or (f"{run}/media" if run else None)
+        if root is None:
+            raise ValueError("a derivative needs a cache or a run")
+        return F.concat(F.lit(root.rstrip("/") + "/"), name)
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(home.rstrip("/") + "/"), path))
+
+
+def adapter_media(config: dict) -> dict:
+    """The media settings of an adapter's configuration document: sizes by class, frame rate, frame limits and pad colour."""
+    spatial, temporal = config["spatial"], config["temporal"]
+    held = spatial.get("aspect_ratio_buckets", {})
+    whole = {"default": (int(spatial["width"]), int(spatial["height"]), ())}
+    buckets = {k: (int(b["width"]), int(b["height"]), tuple(b.get("scene_ids", ()))) for k, b in held.get("buckets", {}).items()} if held.get("enabled") else whole
+    if not buckets:
+        raise ValueError("size classes are asked for, but there are none")
+    least, most = int(temporal.get("min_frames", 5)), int(temporal["max_frames"])
+    if least % 4 != 1 or most % 4 != 1 or least > most:
+        raise ValueError("frame limits must be 4n + 1, the least not above the most")
+    return {"buckets": buckets, "fps": int(temporal["fps"]), "min_frames": least, "max_frames": most, "pad_colour": str(spatial.get("pad_color", "black")), "max_pixels": max_pixels(buckets)}

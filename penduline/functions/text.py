@@ -50,6 +50,29 @@ def collision_speed(case_id: Column) -> Column:
     return F.regexp_extract(case_id, CASE_IDS["collision"], 5).try_cast("int") / 10000
 
 
+def pendulum_case_id(run: Column, total_mm: Column, rope_mm: Column, radius_mm: Column, angle_deg: Column) -> Column:
+    """The id of a pendulum case; the grammars above read what these make."""
+    return F.format_string("pendulum_r%d_ltot%04dmm_lrope%04dmm_r%03dmm_a%03ddeg", run, total_mm, rope_mm, radius_mm, angle_deg)
+
+
+def free_fall_case_id(run: Column, size: Column, height_m: Column) -> Column:
+    return F.format_string("freefall_r%d_%s_h%03dcm", run, size, F.rint(height_m * 100).cast("int"))
+
+
+def collision_case_id(run: Column, balls: list[Column], speed: Column) -> Column:
+    return F.format_string("collision_r%d_%s_%s_%s_v%05d", run, *balls, F.rint(speed * 10000).cast("int"))
+
+
+def incline_case_id(run: Column, angle_deg: Column, background: Column) -> Column:
+    return F.format_string("incline_r%d_a%02ddeg_bg%s_img", run, angle_deg, background)
+
+
+def circular_case_id(run: Column, silver_cm: Column, wood_cm: Column) -> Column:
+    """Only the objects that are there are named."""
+    part = lambda name, v: F.when(v.isNotNull(), F.format_string(f"{name}%02dcm_", v)).otherwise("")
+    return F.concat(F.format_string("circular_r%d_", run), part("silver", silver_cm), part("wood", wood_cm), F.lit("img"))
+
+
 def dataset_relative(path: Column) -> Column:
     """Without leading ../ parts."""
     return F.regexp_replace(path, r"^(?:\.\./)+", "")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from penduline.session import broadcast_if_small
+
 ERROR, WARNING = "error", "warning"
 
 
@@ -30,29 +32,65 @@ def usable_quantities(physics: Column) -> Column:
     return F.map_filter(physics, lambda k, q: F.coalesce(q["annotated"], F.lit(True)) & q["value"].isNotNull())
 
 
-def case_issues(cases: DataFrame, scenes: DataFrame) -> DataFrame:
-    """(case_id, received_at, level, code) of each row of cases by itself."""
-    known = cases.join(F.broadcast(scenes.select("scene_id", F.col("ood1_factors").alias("allowed"))), "scene_id", "left")
-    level, split = F.col("ood.level"), F.col("view_a_split")
-    factors = F.coalesce("ood.factors", F.array().cast("array<string>"))
-    real = F.coalesce("has_real_reference_video", F.lit(False))
+def case_issues(cases: DataFrame, scenes: DataFrame, version: str = "1.0") -> DataFrame:
+    """(case_id, received_at, level, code) of each row of cases by itself: every rule it breaks. scenes: scene_id, id_parameters,
+    ood1_factors. Rules on time scales (temporal.encoded_to_physical_speed) and on alignments (alignment.source_start_frame,
+    alignment.review_status) apply where cases has those columns."""
+    known = cases.join(broadcast_if_small(scenes.select("scene_id", F.col("ood1_factors").alias("allowed"), F.col("id_parameters").alias("needed"), F.lit(True).alias("known"))), "scene_id", "left")
     none = lambda c: F.coalesce(c, F.lit("")) == ""
+    level, split, views, assets = F.col("ood.level"), F.col("view_a_split"), F.col("input_views"), F.col("assets")
+    empty = F.array().cast("array<string>")
+    factors = F.col("ood.factors")
+    at_id = split.isin("train", "test_id")
+    real = F.coalesce("has_real_reference_video", F.lit(False))
+    synthetic = F.col("provenance.source_kind") == "synthetic_first_frame"
     rules = [
-        (ERROR, "unknown_scene", F.col("allowed").isNull()),
+        (ERROR, "schema_version", ~F.col("schema_version").eqNullSafe(F.lit(version))),
+        (ERROR, "invalid_case_id", F.col("case_id").isNull()),
         (ERROR, "invalid_split", F.coalesce(~split.isin("train", "test_id", "test_ood1"), F.lit(True))),
-        (ERROR, "id_mismatch", (split != "test_ood1") & ((level != "id") | (F.size(factors) > 0))),
-        (ERROR, "ood1_mismatch", (split == "test_ood1") & ((level != "ood1") | (F.size(factors) == 0))),
-        (ERROR, "missing_real_reference", split.isin("train", "test_id") & none(F.col("assets")["reference_video"])),
-        (ERROR, "missing_parent", (F.col("provenance.source_kind") != "real_capture") & none(F.col("provenance.parent_case_id"))),
-        (ERROR, "synthetic_marked_real", (F.col("provenance.source_kind") == "synthetic_first_frame") & real),
-        (ERROR, "missing_first_frame", none(F.col("assets")["first_frame"])),
-        (ERROR, "missing_input_views", F.coalesce(F.size("input_views"), F.lit(0)) < 1),
-        (ERROR, "missing_physics", ~quantity_ok(F.col("physical_parameters"))),
-        (WARNING, "disallowed_ood1_factor", F.size(F.array_except(factors, "allowed")) > 0),
+        (ERROR, "id_mismatch", at_id & (~level.eqNullSafe(F.lit("id")) | F.coalesce(F.size(factors) != 0, F.lit(True)))),
+        (ERROR, "ood1_mismatch", (split == "test_ood1") & (~level.eqNullSafe(F.lit("ood1")) | F.coalesce(F.size(factors) == 0, F.lit(True)))),
+        (ERROR, "missing_real_reference", real & none(assets["reference_video"])),
+        (ERROR, "missing_parent", synthetic & none(F.col("provenance.parent_case_id"))),
+        (ERROR, "synthetic_marked_real", synthetic & real),
+        (ERROR, "missing_first_frame", synthetic & none(assets["first_frame"])),
+        (ERROR, "missing_input_views", F.coalesce(F.size(views) == 0, F.lit(True))),
+        *((ERROR, f"invalid_{v}", F.map_contains_key(views, v) & none(views[v]["first_frame"])) for v in ("i2v", "ti2v")),
+        (ERROR, "unknown_scene", F.col("known").isNull()),
+        (ERROR, "missing_physics", F.size(F.array_except("needed", F.coalesce(F.map_keys("physical_parameters"), empty))) > 0),
+        (ERROR, "disallowed_ood1_factor", F.size(F.array_except(F.coalesce(factors, empty), F.coalesce("allowed", empty))) > 0),
     ]
+    if "temporal" in cases.columns:
+        speed = F.col("temporal.encoded_to_physical_speed")
+        rules.append((ERROR, "invalid_time_scale", F.isnan(speed) | (speed <= 0)))
+    if "alignment" in cases.columns:
+        aligned = F.col("alignment").isNotNull()
+        rules += [
+            (ERROR, "invalid_alignment_frame", aligned & F.coalesce(F.col("alignment.source_start_frame") < 0, F.lit(True))),
+            (ERROR, "unreviewed_alignment", aligned & ~F.col("alignment.review_status").eqNullSafe(F.lit("visually_verified"))),
+            (ERROR, "missing_alignment_source", aligned & none(assets["source_video"])),
+            (ERROR, "alignment_not_materialized", aligned & assets["reference_video"].eqNullSafe(assets["source_video"])),
+        ]
     return issues(known, ["case_id", "received_at"], rules)
 
 
+# The keys that a case document must have.
+CASE_KEYS = ("schema_version", "case_id", "scene_id", "view_a_split", "physical_parameters", "appearance", "text", "assets", "has_real_reference_video", "ood", "provenance", "input_views")
+
+
+def missing_keys(document: Column, required: tuple[str, ...] = CASE_KEYS) -> Column:
+    """The required keys that a JSON object lacks at its top, sorted; null for a text that is no JSON object."""
+    return F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.json_object_keys(document)))
+
+
+def count_faults(counts: DataFrame, expected: dict[str, int], key: str) -> DataFrame:
+    """(key, expected, n) wherever counts(key, n) differs from what is expected; a key that isn't there counts as 0, and one that
+    isn't expected has a null."""
+    want = counts.sparkSession.createDataFrame(sorted(expected.items()), f"`{key}` string, expected bigint")
+    both = counts.select(F.col(key), "n").join(want, key, "full").select(key, "expected", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    return both.where(~F.col("expected").eqNullSafe(F.col("n")))
+
+
 def physics_key(physics: Column) -> Column:
     """Equal for equal parameters, in whatever order. Maps themselves can't be compared."""
     return F.to_json(F.array_sort(F.map_entries(physics)))

@@ -10,6 +10,17 @@ from penduline.queries.registry import query
 from penduline.queries.series import _S, frames
 
 
+#: Traces of free fall (t) and how they differ (e).
+_FREE_FALL = f"""{_S}, pt AS (SELECT series_id AS job_id, 'r' AS role, frame, time_s, y AS px, x AS py FROM s UNION ALL SELECT series_id - 75, 'p', frame, time_s, y, x FROM s),
+  both_ AS (SELECT pt.* FROM pt JOIN (SELECT job_id, frame FROM pt GROUP BY ALL HAVING count(*) = 2) USING (job_id, frame)),
+  v AS (SELECT *, py - first_value(py) OVER (PARTITION BY job_id, role ORDER BY frame) AS v FROM both_),
+  sp AS (SELECT *, max(abs(v)) OVER k AS span, max(v) OVER k AS top, v - lag(v) OVER (PARTITION BY job_id, role ORDER BY frame) AS step, time_s - avg(time_s) OVER k AS u FROM v WINDOW k AS (PARTITION BY job_id, role)),
+  q AS (SELECT job_id, role, any_value(span) AS span, max(time_s) AS duration, (max(px) - min(px)) / any_value(span) AS drift, avg((step >= -0.02::DOUBLE * span)::INTEGER) AS down, coalesce(min(time_s) FILTER (v >= 0.95::DOUBLE * top), max(time_s)) AS impact,
+    count(*)::DOUBLE AS n, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(v) AS sy, sum(u * v) AS sxy, sum(u * u * v) AS sxxy FROM sp GROUP BY ALL),
+  t AS (SELECT *, 2 * (n * (s2 * sxxy - s3 * sxy) - s2 * s2 * sy) / (n * s2 * s4 - s2 * s2 * s2 - n * s3 * s3) / span AS acc FROM q),
+  e AS (SELECT a.job_id, sqrt(avg((a.v / a.span - b.v / b.span) ** 2)) / greatest(max(a.v / a.span) - min(a.v / a.span), 1) AS nrmse FROM sp a JOIN sp b ON a.job_id = b.job_id AND a.frame = b.frame AND a.role = 'r' AND b.role = 'p' GROUP BY a.job_id)"""
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
     s = frames(spark, d)
     a = s.select(F.col("series_id").alias("job_id"), "frame", "time_s", F.col("y").alias("ax"), F.col("x").alias("ay"), F.col("valid").alias("av"))
@@ -23,14 +34,7 @@ def _round(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 5) + 0.0 for c, kind in df.dtypes if kind == "double"})
 
 
-@query(f"""WITH {_S}, pt AS (SELECT series_id % 75 AS job_id, CASE WHEN series_id < 75 THEN 'r' ELSE 'p' END AS role, frame, time_s, y AS px, x AS py FROM s),
-  both_ AS (SELECT pt.* FROM pt JOIN (SELECT job_id, frame FROM pt GROUP BY ALL HAVING count(*) = 2) USING (job_id, frame)),
-  v AS (SELECT *, py - first_value(py) OVER (PARTITION BY job_id, role ORDER BY frame) AS v FROM both_),
-  sp AS (SELECT *, max(abs(v)) OVER k AS span, max(v) OVER k AS top, v - lag(v) OVER (PARTITION BY job_id, role ORDER BY frame) AS step, time_s - avg(time_s) OVER k AS u FROM v WINDOW k AS (PARTITION BY job_id, role)),
-  q AS (SELECT job_id, role, any_value(span) AS span, max(time_s) AS duration, (max(px) - min(px)) / any_value(span) AS drift, avg((step >= -0.02::DOUBLE * span)::INTEGER) AS down, coalesce(min(time_s) FILTER (v >= 0.95::DOUBLE * top), max(time_s)) AS impact,
-    count(*)::DOUBLE AS n, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(v) AS sy, sum(u * v) AS sxy, sum(u * u * v) AS sxxy FROM sp GROUP BY ALL),
-  t AS (SELECT *, 2 * (n * (s2 * sxxy - s3 * sxy) - s2 * s2 * sy) / (n * s2 * s4 - s2 * s2 * s2 - n * s3 * s3) / span AS acc FROM q),
-  e AS (SELECT a.job_id, sqrt(avg((a.v / a.span - b.v / b.span) ** 2)) / greatest(max(a.v / a.span) - min(a.v / a.span), 1) AS nrmse FROM sp a JOIN sp b ON a.job_id = b.job_id AND a.frame = b.frame AND a.role = 'r' AND b.role = 'p' GROUP BY a.job_id),
+@query(f"""WITH {_FREE_FALL},
   c AS (SELECT job_id, exp(-nrmse / 0.15) AS vertical_trajectory, exp(-abs(p.acc - r.acc) / greatest(abs(r.acc), 1e-9) / 0.35) AS normalized_acceleration, exp(-abs(p.impact - r.impact) / greatest(r.duration, 1e-9) / 0.15) AS impact_time,
     0.5 * (exp(-abs(p.drift - r.drift) / 0.08) + 1 - least(abs(p.down - r.down), 1)) AS motion_constraints FROM e JOIN t r USING (job_id) JOIN t p USING (job_id) WHERE r.role = 'r' AND p.role = 'p')
   SELECT job_id, round(vertical_trajectory, 5) AS vertical_trajectory, round(normalized_acceleration, 5) AS normalized_acceleration, round(impact_time, 5) AS impact_time, round(motion_constraints, 5) AS motion_constraints,

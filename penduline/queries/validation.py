@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from penduline.operators import splits, validation
 from penduline.queries.planning import _A
 from penduline.queries.registry import query
-from penduline.session import table
+from penduline.session import broadcast_if_small, table
 
 _PHYSICS = "list_sort(list_transform(map_entries(physical_parameters), lambda e: e.key || '=' || coalesce(e.value.value::VARCHAR, '~') || coalesce(e.value.unit, '~') || coalesce(e.value.annotated::VARCHAR, '~')))"
 _OK = "(cardinality(physical_parameters) > 0 AND len(list_filter(map_values(physical_parameters), lambda q: q.value IS NULL OR isnan(q.value) OR isinf(q.value) OR q.unit IS NULL OR q.annotated IS NULL)) = 0)"
@@ -29,20 +29,25 @@ def annotated_only(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").select("case_id", "received_at", F.array_sort(F.map_keys(validation.usable_quantities(F.col("physical_parameters")))).alias("usable"))
 
 
-@query(f"""WITH c AS (SELECT c.*, s.ood1_factors AS allowed, coalesce(c.ood.factors, []) AS factors, c.ood.level AS level FROM cases c LEFT JOIN scenes s USING (scene_id)),
+@query("""WITH c AS (SELECT c.*, s.scene_id IS NOT NULL AS known, coalesce(s.ood1_factors, []) AS allowed, s.id_parameters AS needed, c.ood.factors AS factors, c.ood.level AS level,
+    coalesce(c.has_real_reference_video, false) AS is_real, coalesce(c.provenance.source_kind, '') = 'synthetic_first_frame' AS made FROM cases c LEFT JOIN scenes s USING (scene_id)),
   i AS (SELECT case_id, received_at, unnest([
-    CASE WHEN allowed IS NULL THEN 'error:unknown_scene' END,
-    CASE WHEN coalesce(view_a_split NOT IN ('train', 'test_id', 'test_ood1'), true) THEN 'error:invalid_split' END,
-    CASE WHEN view_a_split <> 'test_ood1' AND (level <> 'id' OR len(factors) > 0) THEN 'error:id_mismatch' END,
-    CASE WHEN view_a_split = 'test_ood1' AND (level <> 'ood1' OR len(factors) = 0) THEN 'error:ood1_mismatch' END,
-    CASE WHEN view_a_split IN ('train', 'test_id') AND coalesce(assets['reference_video'], '') = '' THEN 'error:missing_real_reference' END,
-    CASE WHEN provenance.source_kind <> 'real_capture' AND coalesce(provenance.parent_case_id, '') = '' THEN 'error:missing_parent' END,
-    CASE WHEN provenance.source_kind = 'synthetic_first_frame' AND coalesce(has_real_reference_video, false) THEN 'error:synthetic_marked_real' END,
-    CASE WHEN coalesce(assets['first_frame'], '') = '' THEN 'error:missing_first_frame' END,
-    CASE WHEN coalesce(cardinality(input_views), 0) < 1 THEN 'error:missing_input_views' END,
-    CASE WHEN NOT coalesce({_OK}, false) THEN 'error:missing_physics' END,
-    CASE WHEN len(list_filter(factors, lambda f: NOT list_contains(allowed, f))) > 0 THEN 'warning:disallowed_ood1_factor' END]) AS i FROM c)
-  SELECT case_id, received_at, split_part(i, ':', 1) AS level, split_part(i, ':', 2) AS code FROM i WHERE i IS NOT NULL""")
+    CASE WHEN schema_version IS DISTINCT FROM '1.0' THEN 'schema_version' END,
+    CASE WHEN case_id IS NULL THEN 'invalid_case_id' END,
+    CASE WHEN coalesce(view_a_split NOT IN ('train', 'test_id', 'test_ood1'), true) THEN 'invalid_split' END,
+    CASE WHEN view_a_split IN ('train', 'test_id') AND (level IS DISTINCT FROM 'id' OR coalesce(len(factors) <> 0, true)) THEN 'id_mismatch' END,
+    CASE WHEN view_a_split = 'test_ood1' AND (level IS DISTINCT FROM 'ood1' OR coalesce(len(factors) = 0, true)) THEN 'ood1_mismatch' END,
+    CASE WHEN is_real AND coalesce(assets['reference_video'], '') = '' THEN 'missing_real_reference' END,
+    CASE WHEN made AND coalesce(provenance.parent_case_id, '') = '' THEN 'missing_parent' END,
+    CASE WHEN made AND is_real THEN 'synthetic_marked_real' END,
+    CASE WHEN made AND coalesce(assets['first_frame'], '') = '' THEN 'missing_first_frame' END,
+    CASE WHEN coalesce(cardinality(input_views) = 0, true) THEN 'missing_input_views' END,
+    CASE WHEN list_contains(map_keys(input_views), 'i2v') AND coalesce(input_views['i2v'].first_frame, '') = '' THEN 'invalid_i2v' END,
+    CASE WHEN list_contains(map_keys(input_views), 'ti2v') AND coalesce(input_views['ti2v'].first_frame, '') = '' THEN 'invalid_ti2v' END,
+    CASE WHEN NOT known THEN 'unknown_scene' END,
+    CASE WHEN len(list_filter(needed, lambda p: NOT list_contains(coalesce(map_keys(physical_parameters), []), p))) > 0 THEN 'missing_physics' END,
+    CASE WHEN len(list_filter(coalesce(factors, []), lambda f: NOT list_contains(allowed, f))) > 0 THEN 'disallowed_ood1_factor' END]) AS code FROM c)
+  SELECT case_id, received_at, 'error' AS level, code FROM i WHERE code IS NOT NULL""")
 def issue_collect(spark: SparkSession, d: str) -> DataFrame:
     return validation.case_issues(table(spark, d, "cases"), table(spark, d, "scenes"))
 
@@ -112,4 +117,24 @@ def scene_support(spark: SparkSession, d: str) -> DataFrame:
     """Both sides are fixed, small tables of settings."""
     b, s = table(spark, d, "baselines"), table(spark, d, "scenes").select("scene_id")
     ok = F.array_contains("supported_scenes", F.col("scene_id")) | F.array_contains("supported_scenes", "all")
-    return b.crossJoin(F.broadcast(s)).select("baseline_id", "scene_id", ok.alias("supported"))
+    return b.crossJoin(broadcast_if_small(s)).select("baseline_id", "scene_id", ok.alias("supported"))
+
+
+_KEYS = ", ".join(f"'{k}'" for k in validation.CASE_KEYS)
+
+
+@query(f"""SELECT record_id, CASE WHEN body IS NOT NULL THEN list_sort(list_filter([{_KEYS}], lambda k: NOT list_contains(json_keys(body), k))) END AS missing
+  FROM (SELECT record_id, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN body END AS body FROM case_records)""")
+def required_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "case_records").select("record_id", validation.missing_keys(F.col("body")).alias("missing"))
+
+
+@query("""SELECT table_name, expected, n FROM (VALUES ('baselines', 140), ('scenes', 5), ('subject_areas', 10)) e(table_name, expected)
+  JOIN (SELECT 'baselines' AS table_name, count(*) AS n FROM baselines UNION ALL SELECT 'scenes', count(*) FROM scenes UNION ALL SELECT 'subject_areas', count(*) FROM subject_areas) USING (table_name) WHERE n <> expected""")
+def expected_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Five scenes are expected, as the protocol has so many; the catalogue holds six."""
+    counts = None
+    for name in ("baselines", "scenes", "subject_areas"):
+        n = table(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        counts = n if counts is None else counts.unionByName(n)
+    return validation.count_faults(counts, {"baselines": 140, "scenes": 5, "subject_areas": 10}, "table_name")
