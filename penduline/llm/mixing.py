@@ -5,7 +5,9 @@ times, plus once more where the uniform number made of its id, the mix and the s
 
 The size of a mix is the most that all its caps allow with exact shares, but no more than its sources hold in all: T =
 min(sum of the sources' tokens, cap x tokens / share of each capped source); rate = share x T / tokens <= cap. So every
-source has its share of the tokens in expectation, and no document comes more often than its cap.
+source has its share of the tokens in expectation, and no document comes more often than its cap. A mix may be given a size in
+tokens instead: then every source gives what it can of its share, a capped one no more than cap x tokens, and `shortfall` says
+how many of the tokens meant for a source its cap withholds; the others keep their sizes, so that their shares rise.
 
 Weights are taken relative to the sum of those that can be met: a source without tokens, with a weight that is null or not
 above 0, or a cap of 0 or less has no share. Several rows of a source in one mix add up, under the smallest cap. Sources
@@ -35,8 +37,9 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return materialize(count_tokens(documents.withColumn("source", source_key(F.col("source"))).where("source IS NOT NULL"), ["doc_id", "source"], vocabulary=vocabulary))
 
 
-def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source, target_weight, max_repeats, n_docs, source_tokens, target_share, rate) of every named source."""
+def rates(sizes: DataFrame, targets: DataFrame, tokens: int | None = None) -> DataFrame:
+    """(mix_id, source, target_weight, max_repeats, n_docs, source_tokens, target_share, rate, shortfall) of every named source.
+    tokens: the size of each mix; None for the most that all caps allow with exact shares."""
     held = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").cast("bigint").alias("source_tokens"))
     named = targets.select("mix_id", source_key(F.col("source")).alias("source"), "target_weight", "max_repeats").groupBy("mix_id", "source").agg(
         F.sum("target_weight").alias("target_weight"), F.min("max_repeats").alias("max_repeats"))
@@ -47,8 +50,12 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     shares = both.withColumn("target_share", F.coalesce(F.try_divide("weight", F.sum("weight").over(mix)), F.lit(0.0)))
     bound = F.when(F.col("weight") > 0, F.try_divide(F.col("max_repeats") * F.col("source_tokens"), F.col("target_share")))
     total = F.least(F.min(bound).over(mix), F.sum(F.when(F.col("weight") > 0, F.col("source_tokens"))).over(mix).cast("double"))
-    rate = F.coalesce(F.try_divide(F.col("target_share") * total, F.col("source_tokens")), F.lit(0.0))
-    return shares.withColumn("rate", rate).select("mix_id", "source", "target_weight", "max_repeats", "n_docs", "source_tokens", "target_share", "rate")
+    wanted = F.col("target_share") * (total if tokens is None else F.lit(float(tokens)))
+    rate = F.coalesce(F.try_divide(wanted, F.col("source_tokens")), F.lit(0.0))
+    held_back = F.least(rate, F.coalesce(F.col("max_repeats").cast("double"), rate))
+    short = F.greatest(F.lit(0), F.round((rate - held_back) * F.col("source_tokens"))).cast("bigint")
+    return shares.withColumn("rate", held_back).withColumn("shortfall", F.when(F.col("weight") > 0, short).otherwise(F.lit(0).cast("bigint"))).select(
+        "mix_id", "source", "target_weight", "max_repeats", "n_docs", "source_tokens", "target_share", "rate", "shortfall")
 
 
 def _copies(sizes: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
@@ -58,17 +65,17 @@ def _copies(sizes: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
     return sizes.join(broadcast_if_small(planned.where("rate > 0")), "source").withColumn("copies", copies).where("copies > 0")
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, seed: int = SEED, vocabulary: str = VOCABULARY, tokens: int | None = None) -> DataFrame:
     """(mix_id, doc_id, copy_no, source, n_tokens): one row per copy of a document in a mix."""
     sizes = sized(documents, vocabulary)
-    out = _copies(sizes, rates(sizes, targets), seed)
+    out = _copies(sizes, rates(sizes, targets, tokens), seed)
     return out.select("mix_id", "doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "source", "n_tokens")
 
 
-def shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, vocabulary: str = VOCABULARY, tokens: int | None = None) -> DataFrame:
     """Target and actual share of every named source of every mix, whether or not it has documents."""
     sizes = sized(documents, vocabulary)
-    planned = materialize(rates(sizes, targets))
+    planned = materialize(rates(sizes, targets, tokens))
     out = _copies(sizes, planned, seed).groupBy("mix_id", "source").agg(
         F.sum("copies").alias("out_docs"), F.sum(F.col("copies") * F.col("n_tokens")).cast("bigint").alias("out_tokens"), F.max("copies").alias("most_copies"))
     every = planned.join(out, ["mix_id", "source"], "left").na.fill(0, ["out_docs", "out_tokens", "most_copies"])

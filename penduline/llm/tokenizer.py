@@ -10,7 +10,9 @@ the length of a piece, however long, and no merging takes place.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -146,24 +148,23 @@ class PrefixEncoder:
         return out
 
 
-_ENCODERS: dict[int, PrefixEncoder] = {}
+_ENCODERS: dict[str, PrefixEncoder] = {}
 
 
-def _encoder(shared: Broadcast) -> PrefixEncoder:
-    """One encoder per worker and vocabulary."""
-    ranks = shared.value
-    key = hash((len(ranks), max(ranks.values()), next(iter(ranks))))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PrefixEncoder(ranks)
-    return _ENCODERS[key]
+def _encoder(shared: Broadcast, digest: str) -> PrefixEncoder:
+    """One encoder per worker and vocabulary, known by the digest of its file."""
+    if digest not in _ENCODERS:
+        _ENCODERS[digest] = PrefixEncoder(shared.value)
+    return _ENCODERS[digest]
 
 
 def _with(documents: DataFrame, text: str, column: str, kind: str, vocabulary: str, keep: list[str]) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    digest = hashlib.sha256(Path(vocabulary).read_bytes()).hexdigest()
     counted = kind == "int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, digest)
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 1024):
                 part = batch.slice(at, 1024)

@@ -53,5 +53,17 @@ def test_nulls_and_empty_tables(spark):
     assert mixing.shares(docs, targets).count() == 5
 
 
+def test_a_given_size_and_what_a_cap_withholds(spark):
+    docs = _docs(spark, {"big": 300, "tiny": 10})
+    targets = _targets(spark, [("m", "big", 1.0, None), ("m", "tiny", 1.0, 2)])
+    held = {r.source: r.source_tokens for r in mixing.shares(docs, targets).collect()}
+    size = 2 * held["big"]
+    got = {r.source: r for r in mixing.shares(docs, targets, tokens=size).collect()}
+    assert got["big"].rate == pytest.approx(1.0) and got["big"].shortfall == 0 and got["big"].out_docs == 300
+    assert got["tiny"].rate == 2.0 and got["tiny"].out_docs == 20 and got["tiny"].shortfall == held["big"] - 2 * held["tiny"]
+    assert got["big"].actual_share > 0.9 and {r.shortfall for r in mixing.shares(docs, targets).collect()} == {0}
+    assert mixing.mix(docs, targets, tokens=size).count() == 320
+
+
 def test_vocabulary_is_a_parameter():
     assert "vocabulary" in mixing.mix.__annotations__ and tokenizer.VOCABULARY.endswith(".tiktoken")

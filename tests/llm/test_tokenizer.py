@@ -82,3 +82,16 @@ def test_other_public_library_agrees(encoder):
     other.encode_special_tokens = True
     for text in ("Half of it\ttakes  mention.", json.dumps({"a": [1, "ü"]}), "没有方差就很难判断样本量。"):
         assert encoder.encode(text) == other.encode(text, add_special_tokens=False).ids
+
+
+def test_vocabularies_that_look_alike_are_told_apart(spark, tmp_path):
+    import base64
+
+    texts = spark.createDataFrame([(1, "ab ba abab"), (2, None), (3, "")], "doc_id bigint, text string")
+    for name, pair in (("one", b"ab"), ("two", b"ba")):
+        tokens = [bytes([k]) for k in range(256)] + [pair]
+        path = tmp_path / name
+        path.write_bytes(b"".join(base64.b64encode(t) + f" {k}\n".encode() for k, t in enumerate(tokens)))
+        plain = tokenizer.PrefixEncoder(tokenizer.read_vocabulary(str(path)))
+        got = {r.doc_id: r.ids for r in tokenizer.encode(texts, vocabulary=str(path)).collect()}
+        assert got == {1: plain.encode("ab ba abab"), 2: [], 3: []} and 256 in got[1]
