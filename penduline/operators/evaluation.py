@@ -36,7 +36,7 @@ def ladder(jobs: DataFrame, cases: DataFrame, predictions: DataFrame, supported:
     scene = cases.select(F.col("case_id"), F.col("scene_id").alias("case_scene"), F.lit(True).alias("known")).dropDuplicates(["case_id"])
     jobs = jobs.drop("known", "case_scene", "records", "complete", "score", "status", "reason_code")
     own = "scene_id" in jobs.columns
-    rows = jobs.join(scene, "case_id", "left").join(per_job(predictions), "job_id", "left")
+    rows = jobs.join(per_job(predictions), "job_id", "left").join(scene, "case_id", "left")
     rows = rows.withColumn("scene_id", F.coalesce("scene_id", "case_scene") if own else F.col("case_scene"))
     has = F.lit(True) if supported is None else F.coalesce(F.col("scene_id").isin(supported), F.lit(False))
     rungs: list[tuple[Column, str, str | None]] = [

@@ -18,17 +18,23 @@ def clause_values(cases: DataFrame, clauses: DataFrame) -> DataFrame:
 
     cases: case_id, scene_id, physics. clauses: scene_id, pos, name, unit (null: any), required. A parameter is usable if it
     is annotated (which is so by default) and has a value."""
+    return _said(cases, clauses).select("case_id", "pos", "name", "value", "unit", "fault")
+
+
+def _said(cases: DataFrame, clauses: DataFrame) -> DataFrame:
+    """clause_values() with whatever else clauses says."""
     q = F.col("physics")[F.col("name")]
     usable = q.isNotNull() & F.coalesce(q["annotated"], F.lit(True)) & q["value"].isNotNull()
     rows = cases.select("case_id", "scene_id", "physics").join(clauses.withColumnRenamed("unit", "wanted"), "scene_id").withColumn("usable", F.coalesce(usable, F.lit(False)))
     fault = F.when(~F.col("usable"), "missing_required_parameter").when(F.col("wanted").isNotNull() & ~F.col("wanted").eqNullSafe(q["unit"]), "unit_mismatch")
-    return rows.where("usable OR required").select("case_id", "pos", "name", F.when(F.col("usable"), q["value"]).alias("value"), F.when(F.col("usable"), q["unit"]).alias("unit"), fault.alias("fault"))
+    more = [c for c in clauses.columns if c not in ("scene_id", "pos", "name", "unit", "required")]
+    return rows.where("usable OR required").select("case_id", "pos", "name", F.when(F.col("usable"), q["value"]).alias("value"), F.when(F.col("usable"), q["unit"]).alias("unit"), fault.alias("fault"), *more)
 
 
 def rendered(cases: DataFrame, clauses: DataFrame, profile_id: str, intro: str = " with ", separator: str = ", ", outro: str = ".") -> DataFrame:
     """(case_id, profile_id, prompt, used_parameters, prompt_sha256, fault): base_prompt of the case and its clauses. A case with
     any fault has no prompt. Rendered once a case, however many jobs use it."""
-    said = clause_values(cases, clauses).join(clauses.select("name", "scene_id", "precision"), "name").join(cases.select("case_id", F.col("scene_id").alias("_s")), "case_id").where("_s = scene_id")
+    said = _said(cases, clauses)
     text = F.concat_ws(" ", "name", fixed_digits("value", F.coalesce("precision", F.lit(3))), "unit")
     parts = said.groupBy("case_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda p: p["t"]).alias("parts"),

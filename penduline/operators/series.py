@@ -7,7 +7,9 @@ while the number of series is unbounded.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -112,13 +114,24 @@ def autocorrelation(series: DataFrame, value: str, lags: tuple[int, int], key: s
     """(key, lag, r): sum of products of the centred values at a lag over that at lag 0, for each lag in lags (both
     inclusive) that is shorter than the series; none for constant series."""
     held = series.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda p: p[value].cast("double")).alias("x"))
-    mean = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.size("x")
-    centred = held.withColumn("m", mean).withColumn("c", F.transform("x", lambda v: v - F.col("m"))).withColumn("n", F.size("c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    rows = centred.withColumn("e", dot(F.col("c"), F.col("c"))).where("e > 1e-12").withColumn("lag", F.explode(F.sequence(F.lit(lags[0]), F.lit(lags[1])))).where("lag < n")
-    shifted = F.slice("c", F.col("lag") + 1, F.col("n") - F.col("lag"))
-    kept = F.slice("c", F.lit(1), F.col("n") - F.col("lag"))
-    return rows.select(key, "lag", (dot(kept, shifted) / F.col("e")).alias("r"))
+    kind = held.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, lag, r = [], [], []
+            starts, flat = batch["x"].offsets.to_numpy(), batch["x"].values.to_numpy(zero_copy_only=False)
+            for k in range(batch.num_rows):
+                x = flat[starts[k] : starts[k + 1]]
+                c = x - x.mean() if len(x) else x
+                energy = float(c @ c)
+                if energy > 1e-12:  # neither constant nor with a null
+                    reach = range(lags[0], min(lags[1], len(c) - 1) + 1)
+                    at += [k] * len(reach)
+                    lag += reach
+                    r += [float(c[: len(c) - s] @ c[s:]) / energy for s in reach]
+            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(at, pa.int64())), pa.array(lag, pa.int32()), pa.array(r, pa.float64())], names=[key, "lag", "r"])
+
+    return held.mapInArrow(run, f"`{key}` {kind.simpleString()}, lag int, r double")
 
 
 def period_lag(correlations: DataFrame, key: str = "series_id", least: float = 0.1) -> DataFrame:

@@ -43,5 +43,6 @@ def report(title: str, facts: dict[str, str], cells: DataFrame, most: int = 1000
         return "—" if x is None else f"{x:.4f}"
 
     rows = cells.orderBy("scene_id", "evaluation_partition").limit(most).collect()  # a page to be read
+    left_out = cells.count() - len(rows) if len(rows) == most else 0
     head = [f"# {title}", "", *(f"- {k}: {v}" for k, v in facts.items()), "", "| scene | partition | expected | evaluated | coverage | score | observed |", "|---|---|---:|---:|---:|---:|---:|"]
-    return "\n".join([*head, *(f"| {r.scene_id} | {r.evaluation_partition} | {r.expected_jobs} | {r.evaluated_jobs} | {four(r.coverage)} | {four(r.score)} | {four(r.observed_mean_score)} |" for r in rows), ""])
+    return "\n".join([*head, *(f"| {r.scene_id} | {r.evaluation_partition} | {r.expected_jobs} | {r.evaluated_jobs} | {four(r.coverage)} | {four(r.score)} | {four(r.observed_mean_score)} |" for r in rows), *([f"| … | {left_out} more cells are in the table of the run | | | | | |"] if left_out else []), ""])

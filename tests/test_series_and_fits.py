@@ -93,5 +93,35 @@ def test_tracking(spark):
     assert {r.frame for r in got} == set(range(12)) - {6}
     assert all(r.y == (5.0 if r.obj == 0 else 25.0) for r in got)
     assert tracking.assign_nearest(np.array([[0.0, 0], [5, 0]]), np.array([[5.0, 1], [9, 9], [0, 1]])) == (2, 0)
-    with pytest.raises(ValueError, match="8 objects"):
-        tracking.assign_nearest(np.zeros((9, 2)), np.zeros((9, 2)))
+    with pytest.raises(ValueError, match="as many candidates"):
+        tracking.assign_nearest(np.zeros((3, 2)), np.zeros((2, 2)))
+
+
+def test_least_assignment_against_all():
+    from itertools import permutations
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(0, 5))
+        cost = rng.integers(0, 12, (n, n + int(rng.integers(0, 4)))).astype(float)
+        got = tracking.least_assignment(cost)
+        assert len(set(got)) == n
+        assert sum(cost[i, j] for i, j in enumerate(got)) == min((sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(cost.shape[1]), n)), default=0)
+    known = np.column_stack([np.arange(12.0) * 10, np.zeros(12)])
+    assert tracking.assign_nearest(known, np.concatenate([np.full((20, 2), 500.0), known[::-1] + 0.25])) == tuple(range(31, 19, -1))
+
+
+def test_many_candidates_are_all_looked_at(spark):
+    rows = [(1, 0, 10.0, 5.0, 50.0), (1, 0, 30.0, 5.0, 50.0)]
+    rows += [(1, 1, 200.0 + k, 90.0, 99.0) for k in range(20)] + [(1, 1, 11.0, 5.0, 1.0), (1, 1, 31.0, 5.0, 1.0)]
+    got = tracking.track(spark.createDataFrame(rows, "series_id int, frame int, x double, y double, area double"), 2).where("frame = 1").orderBy("obj").collect()
+    assert [r.x for r in got] == [11.0, 31.0]
+
+
+def test_autocorrelation_of_odd_series(spark):
+    rows = [(1, k, float(k % 4)) for k in range(30)] + [(2, k, 3.0) for k in range(9)] + [(3, k, None if k == 4 else float(k)) for k in range(9)] + [(4, 0, 1.0)]
+    got = {}
+    for r in series.autocorrelation(spark.createDataFrame(rows, "series_id int, frame int, v double"), "v", (4, 40)).collect():
+        got.setdefault(r.series_id, {})[r.lag] = r.r
+    x = np.arange(30) % 4 - np.mean(np.arange(30) % 4)
+    assert set(got) == {1} and set(got[1]) == set(range(4, 30)) and got[1][5] == pytest.approx(x[:-5] @ x[5:] / (x @ x))
