@@ -3,14 +3,16 @@ grouped aggregation after the means."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _centred(points: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    """points with c_<column> for each column, minus its mean in the group."""
-    means = points.groupBy(*keys).agg(*(F.avg(c).alias(f"m_{c}") for c in columns))
-    return points.join(means, keys).withColumns({f"c_{c}": F.col(c) - F.col(f"m_{c}") for c in columns})
+    """points with c_<column> for each column, minus its mean m_<column> in the group. Groups are recordings; rows without a key
+    belong to none."""
+    whole = Window.partitionBy(*keys)
+    means = points.dropna(subset=keys).withColumns({f"m_{c}": F.avg(c).over(whole) for c in columns})
+    return means.withColumns({f"c_{c}": F.col(c) - F.col(f"m_{c}") for c in columns})
 
 
 def _sum(*factors: Column) -> Column:

@@ -34,7 +34,13 @@ def clause_expand(spark: SparkSession, d: str) -> DataFrame:
     return prompts.clause_values(_last(spark, d), _clauses(spark, d))
 
 
-@query()
+@query(f"""WITH {_LAST}, j AS (SELECT l.case_id, l.c.scene_id AS scene_id, k.pos, k.name, l.c.physics[k.name] AS q FROM last l LEFT JOIN clauses k ON k.scene_id = l.c.scene_id),
+  u AS (SELECT *, q IS NOT NULL AND coalesce(q.annotated, true) AND q.value IS NOT NULL AS usable FROM j),
+  t AS (SELECT *, concat_ws(' ', name, CASE WHEN usable THEN printf('%.2f', q.value) END, CASE WHEN usable THEN q.unit END) AS said,
+    CASE WHEN name IS NULL THEN NULL WHEN NOT usable THEN 'missing_required_parameter' WHEN regexp_matches(name, 'radius|length|height') AND q.unit IS DISTINCT FROM 'm' THEN 'unit_mismatch' END AS fault FROM u),
+  g AS (SELECT case_id, any_value(scene_id) AS scene_id, string_agg(said, ', ' ORDER BY pos) FILTER (name IS NOT NULL) AS parts, list_sort(list(name) FILTER (name IS NOT NULL)) AS used_parameters, min(fault) AS fault FROM t GROUP BY case_id),
+  p AS (SELECT *, CASE WHEN fault IS NOT NULL THEN NULL WHEN parts IS NOT NULL THEN 'Scene ' || scene_id || ' with ' || parts || '.' ELSE 'Scene ' || scene_id END AS prompt FROM g)
+  SELECT case_id, 'physics' AS profile_id, prompt, used_parameters, sha256(prompt) AS prompt_sha256, fault FROM p""")
 def prompt_profile(spark: SparkSession, d: str) -> DataFrame:
     return prompts.rendered(_last(spark, d).withColumn("base_prompt", F.concat(F.lit("Scene "), "scene_id")), _clauses(spark, d), "physics")
 

@@ -83,6 +83,6 @@ def manual_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").select("prediction_no", F.when(s.between(0, 1), s).alias("score"))
 
 
-@query()
+@query("SELECT event_id, printf('%.1f', value) AS text FROM events")
 def python_rounding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", text.fixed_digits("value", F.lit(1)).alias("text"))

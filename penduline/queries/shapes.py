@@ -62,9 +62,13 @@ def area_gate(spark: SparkSession, d: str) -> DataFrame:
     return m.where(masks.area_gate(F.col("area"), 3, 64, 0.2))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PIX}, spots AS (SELECT vec_id, y * 8 + x AS i, x, y FROM pix),
+  reach AS (SELECT vec_id, i AS root, i, x, y FROM spots UNION SELECT r.vec_id, r.root, p.i, p.x, p.y FROM reach r JOIN spots p ON p.vec_id = r.vec_id AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1),
+  part AS (SELECT vec_id, i, any_value(x) AS x, any_value(y) AS y, min(root) AS label FROM reach GROUP BY vec_id, i),
+  sums AS (SELECT vec_id, label, count(*) AS area, avg(x) AS x, avg(y) AS y FROM part GROUP BY vec_id, label)
+  SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY area DESC, label) - 1)::INTEGER AS component, area, round(x, 6) AS x, round(y, 6) AS y FROM sums""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return masks.components(_masks(spark, d), "mask", 8, 8, "vec_id")
+    return masks.components(_masks(spark, d), "mask", 8, 8, "vec_id").withColumns({c: F.round(c, 6) for c in ("x", "y")})
 
 
 @query("""WITH s AS (SELECT s_nationkey AS nation, s_suppkey AS id, s_acctbal / 100 AS x, s_suppkey % 7 AS y, 10 + s_suppkey % 3 AS area FROM supplier),

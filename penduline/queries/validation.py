@@ -107,7 +107,9 @@ def ood_factor_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cases").where((F.col("ood.level") == "id") | F.arrays_overlap("ood.factors", allowed)).select("case_id", "received_at")
 
 
-@query()
+@query("""WITH docs AS (SELECT record_id, CASE WHEN json_valid(body) THEN body END AS body FROM case_records),
+  hits AS (SELECT d.record_id, '/' || replace(replace(replace(replace(substr(t.fullkey, 2), '.', '/'), '[', '/'), ']', ''), '"', '') AS path FROM docs d, json_tree(d.body) t WHERE t.key = 'prompt')
+  SELECT d.record_id, coalesce(h.paths, []) AS paths FROM docs d LEFT JOIN (SELECT record_id, list_sort(list(ltrim(path, '/')).list_transform(lambda p: '/' || p)) AS paths FROM hits GROUP BY record_id) h USING (record_id)""")
 def forbidden_key_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "case_records").select("record_id", validation.forbidden_key_paths("body", F.lit("prompt")).alias("paths"))
 
