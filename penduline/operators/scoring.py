@@ -166,7 +166,8 @@ def score_orbits(points: DataFrame, config: dict[str, Any] = ORBIT) -> DataFrame
 
 def collision_traces(points: DataFrame, masses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(frames with n, traces, velocities by object). Objects are 0 (striker), 1 (target), 2; masses: job_id, obj, mass.
-    All objects of a recording share one axis, along which the striker starts forwards."""
+    All objects of a recording share one axis, along which the striker starts forwards. Balls meet in the frame in which the
+    first two are nearest; of gaps that are equal to nine decimals the first counts."""
     early = points.where("obj = 0").groupBy(*KEYS).agg(
         (F.max_by("x", F.when(F.col("frame") <= 3, F.col("frame"))) - F.min_by("x", "frame")).alias("wx"), (F.max_by("y", F.when(F.col("frame") <= 3, F.col("frame"))) - F.min_by("y", "frame")).alias("wy"),
         F.max("time_s").alias("duration"), (F.max("frame") - F.min("frame") + 1).cast("int").alias("frames"))
@@ -178,7 +179,7 @@ def collision_traces(points: DataFrame, masses: DataFrame) -> tuple[DataFrame, D
     s = s.withColumn("span", F.max("along").over(Window.partitionBy(*KEYS)) - F.min("along").over(Window.partitionBy(*KEYS))).withColumn("n", F.try_divide(F.col("along") - F.first("along").over(w), "span"))
     s = materialize(s)
     by_frame = s.groupBy(*KEYS, "frame", "time_s").agg(F.max(F.when(F.col("obj") == 0, F.col("along"))).alias("a"), F.max(F.when(F.col("obj") == 1, F.col("along"))).alias("b"))
-    event = by_frame.groupBy(*KEYS).agg(F.min(F.struct(F.abs(F.col("a") - F.col("b")).alias("gap"), F.col("frame").cast("int").alias("frame"), "time_s")).alias("e"))
+    event = by_frame.groupBy(*KEYS).agg(F.min(F.struct(F.round(F.abs(F.col("a") - F.col("b")), 9).alias("gap"), F.col("frame").cast("int").alias("frame"), "time_s")).alias("e"))
     scalars = lines.select(*KEYS, "duration", "frames").join(event.select(*KEYS, F.col("e.frame").alias("event"), F.col("e.time_s").alias("event_s")), KEYS)
     a, b, c, d = series.windows_about(F.col("event"), F.col("frames"))
     cut = scalars.withColumns({"pre_from": a, "pre_to": b, "post_from": c, "post_to": d})
