@@ -110,4 +110,4 @@ def render_prompt(base: Column, clauses: Column, intro: str = "", separator: str
 
 def score_text(score: Column) -> Column:
     """Four decimals, or a dash for none."""
-    return F.coalesce(F.format_number(score, "0.0000"), F.lit("—"))
+    return F.coalesce(fixed_digits(score, F.lit(4)), F.lit("—"))

@@ -71,6 +71,24 @@ def area_gate(area_column: Column, least: int, frame_area: int, largest_share: f
     return area_column.between(least, round(frame_area * largest_share))
 
 
+def clipped(points: DataFrame, top: Column) -> DataFrame:
+    """Set pixels without the rows above a row."""
+    return points.where(F.col("y") >= top)
+
+
+def prompt_boxes(points: DataFrame, width: int, height: int, expand: float, least: float, *keys: str) -> DataFrame:
+    """(keys, x0, y0, x1, y1): the box of each mask's set pixels about the centre of its outermost pixels, grown and no smaller
+    than least, within the picture; null for masks without pixels, which give no row."""
+    box = points.groupBy(*keys).agg(F.min("x").alias("l"), F.max("x").alias("r"), F.min("y").alias("t"), F.max("y").alias("b"))
+
+    def side(low: str, high: str, limit: int) -> tuple[Column, Column]:
+        middle, half = (F.col(low) + F.col(high)) / 2, F.greatest(F.lit(float(least)), (F.col(high) - F.col(low) + 1) * expand) / 2
+        return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(limit - 1.0), middle + half)
+
+    (x0, x1), (y0, y1) = side("l", "r", width), side("t", "b", height)
+    return box.select(*keys, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
 def pivot_and_bob(points: DataFrame, *keys: str) -> DataFrame:
     """(keys, pivot_x, pivot_y, bob_x, bob_y, reason_ok) from set pixels: the top rows (6 % quantile) give the pivot, the
     bottom rows (76 %) the bob."""

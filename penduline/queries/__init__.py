@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "planning", "validation", "series", "shapes", "scalars", "scoring", "etl", "prompts", "audits", "evaluators")
+MODULES = ("evaluation", "planning", "validation", "series", "shapes", "scalars", "scoring", "etl", "prompts", "audits", "evaluators", "sources")
 
 
 def load() -> tuple[dict, dict]:

@@ -84,3 +84,15 @@ def instance_tracking(spark: SparkSession, d: str) -> DataFrame:
     s = frames(spark, d)
     three = [s.select("series_id", F.floor(F.col("frame") / 3).alias("frame"), "x", "y", F.lit(1.0).alias("area"))]
     return tracking.track(three[0], 3)
+
+
+@query(f"""WITH {_PIX} SELECT vec_id, greatest(0, (min(x) + max(x)) / 2 - greatest(3, (max(x) - min(x) + 1) * 1.25::DOUBLE) / 2) AS x0, greatest(0, (min(y) + max(y)) / 2 - greatest(3, (max(y) - min(y) + 1) * 1.25::DOUBLE) / 2) AS y0,
+  least(7, (min(x) + max(x)) / 2 + greatest(3, (max(x) - min(x) + 1) * 1.25::DOUBLE) / 2) AS x1, least(7, (min(y) + max(y)) / 2 + greatest(3, (max(y) - min(y) + 1) * 1.25::DOUBLE) / 2) AS y1 FROM pix GROUP BY vec_id""")
+def prompt_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return masks.prompt_boxes(masks.pixels(_masks(spark, d), "mask", 8, "vec_id"), 8, 8, 1.25, 3, "vec_id")
+
+
+@query(f"WITH {_PIX} SELECT vec_id, count(*) AS area, min(y) AS top FROM pix WHERE y >= 3 GROUP BY vec_id")
+def top_clip(spark: SparkSession, d: str) -> DataFrame:
+    clipped = masks.clipped(masks.pixels(_masks(spark, d), "mask", 8, "vec_id"), F.lit(3))
+    return clipped.groupBy("vec_id").agg(F.count("*").alias("area"), F.min("y").cast("bigint").alias("top"))
