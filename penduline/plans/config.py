@@ -69,13 +69,56 @@ def media_faults(buckets: dict[str, tuple[int, int]], least_frames: int, most_fr
     return out + (["least above most frames"] if least_frames > most_frames else [])
 
 
+def load_bundle(path: str | Path) -> dict:
+    """The document of a baseline, with its folder and fingerprint. Adapters belong into its task builder."""
+    value = json.loads(Path(path).read_text(encoding="utf-8"))
+    # What a bundle must hold, and what it must not.
+    faults = [f"no {k}" for k in ("baseline_id", "plugin", "capabilities", "components") if k not in value]
+    parts = value.get("components", {})
+    faults += [f"no component {k}" for k in ("task_builder", "trainer", "predictor") if k not in parts]
+    faults += [f"{k} is no component of its own" for k in ("condition_adapter", "data_adapter") if k in parts]
+    if value.get("schema_version") != "2.0":
+        faults.append("schema_version is not 2.0")
+    if faults:
+        raise ValueError("; ".join(faults))
+    return {**value, "folder": str(Path(path).parent), "fingerprint": digest(value)}
+
+
+def load_profiles(folder: str | Path) -> dict[str, dict]:
+    """Prompt profiles of a folder by id; a faulty one, an id given twice, or a folder without any is an error."""
+    out: dict[str, dict] = {}
+    for path in sorted(Path(folder).glob("*.json")):
+        profile = json.loads(path.read_text(encoding="utf-8"))
+        faults = clause_faults(profile)
+        name = profile.get("profile_id")
+        if name in out:
+            faults.append(f"{name} is there already")
+        if faults:
+            raise ValueError(f"{path.name}: {'; '.join(faults)}")
+        out[name] = profile
+    if not out:
+        raise ValueError(f"no prompt profiles in {folder}")
+    return out
+
+
 def clause_faults(profile: dict) -> list[str]:
-    """Faults of a prompt profile: scenes without base prompt, clauses without name, names given twice."""
-    out = []
-    for scene, held in sorted(profile.get("scenes", {}).items()):
+    """Faults of a prompt profile: of its version and id, scenes without base prompt, clauses without a name of their own, without a
+    place for the value, or without a precision."""
+    out = [] if profile.get("schema_version", "1.0") == "1.0" else ["schema_version is not 1.0"]
+    if "profile_id" in profile and not (isinstance(profile["profile_id"], str) and profile["profile_id"]):
+        out.append("no profile_id")
+    if not profile.get("scenes"):
+        out.append("no scenes")
+    for scene, held in sorted((profile.get("scenes") or {}).items()):
         if not str(held.get("base_prompt") or "").strip():
             out.append(f"{scene}: no base_prompt")
-        names = [c.get("name") for c in held.get("parameter_clauses", [])]
-        if None in names or len(names) != len(set(names)):
+        clauses = held.get("parameter_clauses", [])
+        if not isinstance(clauses, list):
+            out.append(f"{scene}: clauses are no list")
+            continue
+        names = [c.get("name") for c in clauses]
+        if not all(isinstance(n, str) and n for n in names) or len(names) != len(set(names)):
             out.append(f"{scene}: clauses without a name of their own")
+        out += [f"{scene}/{c.get('name')}: no place for the value" for c in clauses if "{value}" not in str(c.get("template", "{value}"))]
+        out += [f"{scene}/{c.get('name')}: no precision" for c in clauses if "precision" in c and (not isinstance(c["precision"], int) or isinstance(c["precision"], bool) or c["precision"] < 0)]
     return out
