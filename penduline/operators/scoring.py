@@ -85,7 +85,8 @@ def free_fall_traces(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def score_free_fall(points: DataFrame, config: dict[str, Any] = FREE_FALL) -> DataFrame:
-    frames, traces = map(materialize, free_fall_traces(materialize(points)))
+    frames, traces = free_fall_traces(materialize(points))
+    traces = materialize(traces)
     pairs = paired(traces, "job_id").join(_rmse(frames, "n", "job_id"), "job_id")
     duration = F.greatest(F.col("r_duration"), F.lit(1e-9))
     parts = {
@@ -123,7 +124,8 @@ def incline_traces(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def score_incline(points: DataFrame, config: dict[str, Any] = INCLINE) -> DataFrame:
-    frames, traces = map(materialize, incline_traces(materialize(points)))
+    frames, traces = incline_traces(materialize(points))
+    traces = materialize(traces)
     pairs = paired(traces, "job_id").join(_rmse(frames, "n", "job_id"), "job_id")
     contact = delta_similarity(F.col("r_cross"), F.col("p_cross"), config["cross"])
     pose = delta_similarity(F.col("r_orientation"), F.col("p_orientation"), config["orientation"])
@@ -147,12 +149,13 @@ def orbit_traces(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     fit = fitting.linear(turned, "time_s", "angle", *keys).select(*keys, F.col("slope").alias("omega"), F.col("rmse").alias("fit"))
     traces = turned.groupBy(*keys).agg(F.first("radius").alias("radius"), F.try_divide(F.stddev_pop("far"), F.avg("far")).alias("radial_cv")).join(fit, keys)
     ranked = traces.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy("radius", "obj"))).withColumn("largest", F.max("radius").over(Window.partitionBy(*KEYS)))
+    ranked = materialize(ranked)
     return turned.join(ranked.select(*keys, "rank"), keys), ranked
 
 
 def score_orbits(points: DataFrame, config: dict[str, Any] = ORBIT) -> DataFrame:
     """Jobs whose recordings show different numbers of objects end as errors."""
-    frames, traces = map(materialize, orbit_traces(materialize(points)))
+    frames, traces = orbit_traces(materialize(points))
     objects = paired(traces.drop("obj"), "job_id", "rank").join(_rmse(frames.drop("obj"), "angle", "job_id", "rank"), ["job_id", "rank"])
     share = F.try_divide("r_radius", F.greatest(F.col("r_largest"), F.lit(1e-9))) - F.try_divide("p_radius", F.greatest(F.col("p_largest"), F.lit(1e-9)))
     means = objects.groupBy("job_id").agg(
@@ -196,7 +199,8 @@ def collision_traces(points: DataFrame, masses: DataFrame) -> tuple[DataFrame, D
 
 
 def score_collision(points: DataFrame, masses: DataFrame, config: dict[str, Any] = COLLISION) -> DataFrame:
-    frames, traces, speeds = map(materialize, collision_traces(materialize(points), masses))
+    frames, traces, speeds = collision_traces(materialize(points), masses)
+    traces, speeds = materialize(traces), materialize(speeds)
     way = _rmse(frames, "n", "job_id", "obj").groupBy("job_id").agg(F.avg("nrmse").alias("way"))
     v = paired(speeds, "job_id", "obj").select("job_id", F.explode(F.array(F.struct(F.col("r_before").alias("r"), F.col("p_before").alias("p")), F.struct(F.col("r_after").alias("r"), F.col("p_after").alias("p")))).alias("v"))
     v = v.groupBy("job_id").agg((F.sqrt(F.avg(F.pow(F.col("v.r") - F.col("v.p"), 2))) / F.greatest(F.max(F.abs("v.r")), F.lit(1e-9))).alias("speed"))
@@ -245,7 +249,8 @@ def pendulum_traces(marks: DataFrame, config: dict[str, Any] = PENDULUM) -> tupl
 
 
 def score_pendulum(marks: DataFrame, config: dict[str, Any] = PENDULUM) -> DataFrame:
-    frames, traces = map(materialize, pendulum_traces(materialize(marks), config))
+    frames, traces = pendulum_traces(materialize(marks), config)
+    traces = materialize(traces)
     pairs = paired(traces, "job_id").join(_rmse(frames, "angle", "job_id").select("job_id", "rmse"), "job_id")
     rate = F.when(F.col("r_period").isNull(), None).when(F.col("p_period").isNull(), 0.0).otherwise(F.exp(-F.abs(F.col("p_period") - F.col("r_period")) / F.col("r_period")))
     parts = {
